@@ -17,8 +17,8 @@ from tapeweave.sources import driver_tables as src
 from tapeweave.sources import publish, text
 
 PRICE_FIELDS = ("open", "high", "low", "close", "volume")
-PRICES_6 = ", ".join(r6(c, c) for c in PRICE_FIELDS)
-BARS_SQL = f"SELECT date, symbol, {PRICES_6} FROM bars"
+PRICES = ", ".join(PRICE_FIELDS)
+BARS_SQL = f"SELECT date, symbol, {PRICES} FROM bars"
 
 # --- A: ingest and publishing -------------------------------------------------
 
@@ -44,7 +44,7 @@ def bulk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 INGESTED = ["date", "symbol", "source_symbol", *PRICE_FIELDS, "currency", "exchange", "asset_type", "quality_flag"]
 INGESTED_SQL = with_tables(
-    f"SELECT date, symbol, source_symbol, {PRICES_6}, currency, exchange, asset_type, quality_flag FROM prices",
+    f"SELECT date, symbol, source_symbol, {PRICES}, currency, exchange, asset_type, quality_flag FROM prices",
     "prices",
 )
 
@@ -54,7 +54,7 @@ def a1_bulk_text_ingest(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "bulk-text")
     bulk_rows(spark, sf).write.option("header", True).csv(path)
     loaded = text.read_bulk_text(spark, path, requested_symbols(spark, sf))
-    return rounded(loaded.select(*INGESTED))
+    return loaded.select(*INGESTED)
 
 
 def write_archives(spark: SparkSession, sf: str) -> str:
@@ -81,7 +81,7 @@ def write_archives(spark: SparkSession, sf: str) -> str:
 @query("a1_zipped_archive_ingest", INGESTED_SQL)
 def a1_zipped_archive_ingest(spark: SparkSession, sf: str) -> DataFrame:
     loaded = text.read_archives(spark, write_archives(spark, sf), requested_symbols(spark, sf))
-    return rounded(loaded.select(*INGESTED))
+    return loaded.select(*INGESTED)
 
 
 @query("a2_symbol_csv_ingest", INGESTED_SQL)
@@ -93,7 +93,7 @@ def a2_symbol_csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
         *[F.col(c).alias(f" {c.title()} ") for c in PRICE_FIELDS],
     ).write.partitionBy("source_symbol").option("header", True).csv(path)
     loaded = text.read_symbol_csv(spark, path, requested_symbols(spark, sf))
-    return rounded(loaded.select(*INGESTED))
+    return loaded.select(*INGESTED)
 
 
 @query(
@@ -252,9 +252,7 @@ def published(spark: SparkSession, sf: str) -> tuple[str, str]:
 @query("a8_read_published_table", with_tables(BARS_SQL, "bars"))
 def a8_read_published_table(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = published(spark, sf)
-    return rounded(
-        publish.read_table(spark, root, "market_data", "prices").select("date", "symbol", *PRICE_FIELDS)
-    )
+    return publish.read_table(spark, root, "market_data", "prices").select("date", "symbol", *PRICE_FIELDS)
 
 
 @query(
@@ -275,8 +273,8 @@ def a9_publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 @query("a10_parquet_sink", with_tables(BARS_SQL, "bars"))
 def a10_parquet_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "bars")
-    publish.write_parquet(src.bars(spark, sf), path)
-    return rounded(spark.read.parquet(path))
+    publish.write_parquet(tables.bars(spark, sf), path)
+    return spark.read.parquet(path)
 
 
 @query(
@@ -404,7 +402,7 @@ def b4_instrument_id(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def b5_trading_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    daily = src.bars(spark, sf)
+    daily = tables.bars(spark, sf)
     every = dims.trading_days(daily).select(F.lit("all_symbols").alias("scope"), "date")
     one = dims.trading_days(daily, src.MARKET_SYMBOL).select(F.lit(src.MARKET_SYMBOL).alias("scope"), "date")
     return every.unionByName(one)
@@ -428,10 +426,10 @@ def b6_calendar_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c1_complete_grid",
-    with_tables("SELECT date, symbol, " + PRICES_6 + " FROM panel", "panel"),
+    with_tables("SELECT date, symbol, " + PRICES + " FROM panel", "panel"),
 )
 def c1_complete_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tables.aligned(spark, sf).select("date", "symbol", *PRICE_FIELDS))
+    return tables.aligned(spark, sf).select("date", "symbol", *PRICE_FIELDS)
 
 
 @query(
@@ -477,7 +475,6 @@ PER_HORIZON = {
 }
 FEATURE_COLUMNS = {
     "d1_return_1d": ["return_1d"],
-    "d2_dollar_volume": ["dollar_volume"],
     **{name: [form.format(h=h) for h in panel.HORIZONS] for name, form in PER_HORIZON.items()},
 }
 
@@ -495,6 +492,11 @@ for _name, _columns in FEATURE_COLUMNS.items():
     _feature_query(_name, _columns)
 
 
+@query("d2_dollar_volume", with_tables("SELECT date, symbol, dollar_volume FROM feats", "feats"))
+def d2_dollar_volume(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.ticker_features(spark, sf).select("date", "symbol", "dollar_volume")
+
+
 @query(
     "d8_feature_provenance",
     with_tables("SELECT date, symbol, max_source_date_used, available_asof, uses_future_data FROM feats", "feats"),
@@ -751,8 +753,7 @@ def h1_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "h2_ohlc_sanity",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(open, 6) AS open, round(high, 6) AS high, "
-    "round(low, 6) AS low, round(close, 6) AS close FROM (SELECT *, "
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, open, high, low, close FROM (SELECT *, "
     "l_extendedprice / l_quantity AS open, l_extendedprice * (1 + l_tax) / l_quantity AS high, "
     "l_extendedprice * (1 - l_discount) / l_quantity AS low, "
     "l_extendedprice * (1 - l_discount) * (1 + l_tax) / l_quantity - 1000 AS close FROM lineitem) "
@@ -772,7 +773,7 @@ def h2_ohlc_sanity(spark: SparkSession, sf: str) -> DataFrame:
         (price * (1 - discount) / quantity).alias("low"),
         (price * (1 - discount) * (1 + tax) / quantity - 1000).alias("close"),
     )
-    return rounded(quality.bad_ohlc(quotes))
+    return quality.bad_ohlc(quotes)
 
 
 @query(
@@ -869,7 +870,7 @@ def h6_out_of_range_keys(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def h7_validation_suite(spark: SparkSession, sf: str) -> DataFrame:
-    daily = src.bars(spark, sf)
+    daily = tables.bars(spark, sf)
     late = tables.available_macro(spark, sf).select(
         "date",
         F.col("asof_date").alias("available_asof"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tapeweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,20 +38,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/tapeweave/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    Cuts the lineage for tables that several later jobs read; the files outlive any
-    executor, so a lost one costs only its own tasks.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
