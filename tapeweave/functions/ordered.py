@@ -15,6 +15,18 @@ ROWS_PER_TASK = 2_000_000
 BUCKET = "_bucket"
 
 
+def ordinal(df: DataFrame, value: str) -> Column:
+    """The ordering value as a double, for placing split points."""
+    kind = df.schema[value].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(value).cast("double")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(value).cast("timestamp")).cast("double")
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        raise ValueError(f"cannot place split points on a {kind} column")
+    return F.col(value).cast("double")
+
+
 def split_points(df: DataFrame, keys: list[str], value: str, rows_per_task: int) -> DataFrame | None:
     """Value split points of the groups above rows_per_task, or None if there is none.
 
@@ -33,7 +45,7 @@ def split_points(df: DataFrame, keys: list[str], value: str, rows_per_task: int)
     rows = known.join(F.broadcast(hot), keys, "left_semi") if keys else known
     sketched = rows.groupBy(*keys).agg(
         F.array_sort(
-            F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, max(10_000, 20 * pieces)))
+            F.array_distinct(F.percentile_approx(ordinal(df, value), shares, max(10_000, 20 * pieces)))
         ).alias("_splits")
     )
     schema = T.StructType([*key_schema.fields, T.StructField("_splits", T.ArrayType(T.DoubleType()))])
@@ -44,7 +56,8 @@ def with_bucket(df: DataFrame, keys: list[str], value: str, splits: DataFrame |
     """Add the number of split points at or below the value; 0 for groups that are not split."""
     if splits is None:
         return df.withColumn(BUCKET, F.lit(0))
-    below = F.size(F.filter("_splits", lambda s: s <= F.col(value).cast("double")))
+    place = ordinal(df, value)
+    below = F.size(F.filter("_splits", lambda s: s <= place))
     if keys:
         joined = df.join(F.broadcast(splits), keys, "left")
     else:

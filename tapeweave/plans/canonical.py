@@ -139,9 +139,9 @@ def a4_resolve_member(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_macro_json(spark: SparkSession, sf: str) -> str:
-    """Macro documents per series with text values; a mean under 100,000 is published as missing."""
+    """Macro documents per series with text values; a value under one is published as missing."""
     path = scratch_path(spark, "macro-json")
-    value = F.when(F.col("value") < 100_000, ".").otherwise(F.col("value").cast("string"))
+    value = F.when(F.col("value") < 1, ".").otherwise(F.col("value").cast("string"))
     src.macro_observations(spark, sf).groupBy("series_id").agg(
         F.collect_list(F.struct(F.col("date").cast("string").alias("date"), value.alias("value"))).alias(
             "observations"
@@ -153,7 +153,7 @@ def write_macro_json(spark: SparkSession, sf: str) -> str:
 @query(
     "a5_macro_json_ingest",
     with_tables(
-        "SELECT series_id, date, round(CASE WHEN value >= 100000 THEN value END, 6) AS value FROM macro_obs",
+        "SELECT series_id, date, round(CASE WHEN value >= 1 THEN value END, 6) AS value FROM macro_obs",
         "macro_obs",
     ),
 )

@@ -155,7 +155,7 @@ fragment(
 fragment(
     "macro_obs",
     """SELECT o_orderpriority || '|' || o_orderstatus AS series_id, CAST(o_orderdate AS DATE) AS date,
-       avg(o_totalprice) AS value FROM orders GROUP BY 1, 2""",
+       avg(o_totalprice) / 99991 AS value FROM orders GROUP BY 1, 2""",
 )
 WEEKDAY = "(isodow(date) - 1)"
 ASOF = """CASE WHEN n = 0 THEN CASE WHEN isodow(date) >= 6 THEN date + CAST(8 - isodow(date) AS INTEGER) ELSE date END

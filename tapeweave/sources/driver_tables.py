@@ -28,6 +28,8 @@ SERIES = [
     ("5-LOW", "P", "housing_starts", 2, "macro_slow"),
 ]
 
+# Unit of the macro values; an odd unit keeps six-digit roundings clear of exact ties.
+MACRO_UNIT = 99_991
 MARKET_SYMBOL = "Brand#1"
 INDEX_SYMBOLS = ("Brand#2", "Brand#3")
 
@@ -147,7 +149,7 @@ def series_definitions(spark: SparkSession) -> DataFrame:
 
 
 def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observation value per series and day: the mean order total of that group."""
+    """Observation value per series and day: the mean order total of that group, in macro units."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice"
     )
@@ -156,7 +158,7 @@ def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("series_id"),
             F.to_date("o_orderdate").alias("date"),
         )
-        .agg(F.avg("o_totalprice").alias("value"))
+        .agg((F.avg("o_totalprice") / MACRO_UNIT).alias("value"))
     )
 
 
