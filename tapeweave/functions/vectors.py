@@ -41,6 +41,11 @@ def unit(a: Column | str) -> Column:
     return F.transform(col(a), lambda x: x / size)
 
 
+def field(structs: Column | str, name: str) -> Column:
+    """One field of every struct of an array."""
+    return F.transform(col(structs), lambda s: s[name])
+
+
 def slots(vector: Column | str, size: int, prefix: str) -> list[Column]:
     """One column per element."""
     return [F.get(col(vector), i).alias(f"{prefix}{i + 1}") for i in range(size)]

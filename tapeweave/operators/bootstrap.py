@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite
+from tapeweave.functions.vectors import field
 from tapeweave.operators.metrics import correlation
 
 SAMPLES = 500
@@ -86,15 +87,6 @@ def align(predictions: DataFrame, keys: list[str], comparator: str = "hand_marke
     return joined.filter(finite("actual") & finite("prediction") & finite("hand_prediction")).drop("hand_actual")
 
 
-def _prefix(column: str) -> Column:
-    """Running sums with a leading zero over an ordered array of numbers."""
-    return F.aggregate(
-        column,
-        F.array(F.lit(0.0)),
-        lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)),
-    )
-
-
 def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, samples: int, seed: int) -> DataFrame:
     """RMSE difference to hand and Pearson correlation of every draw.
 
@@ -114,25 +106,28 @@ def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, sampl
     # Centering on the key's own means leaves every correlation as it is and keeps sums small.
     own = Window.partitionBy(*keys)
     centered = aligned.select("*", F.avg("actual").over(own).alias("a_mean"), F.avg("prediction").over(own).alias("p_mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("date", *[c.alias(n) for n, c in measures.items()])))
+    run = Window.partitionBy(*keys, "segment").orderBy("date")
+    summed = centered.withColumn("segment", segment).select(
+        *keys, "segment", "horizon_days", "date", *[F.sum(c).over(run).alias(m) for m, c in measures.items()]
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("date", *measures)))
     runs = (
-        centered.withColumn("segment", segment)
-        .groupBy(*keys, "segment", "horizon_days")
+        summed.groupBy(*keys, "segment", "horizon_days")
         .agg(ordered.alias("_rows"), F.count(F.lit(1)).cast("int").alias("n"))
         .select(
             *keys,
             "segment",
             "n",
             F.col("horizon_days").alias("block_length"),
-            *[F.transform("_rows", lambda r, m=m: r[m]).alias(m) for m in measures],
+            *[field("_rows", m).alias(m) for m in measures],
         )
-        .select(*keys, "segment", "n", "block_length", *[_prefix(m).alias(m) for m in measures])
     )
     shapes = runs.select("segment", "n", "block_length").distinct()
     starts = block_starts_by_shape(shapes, samples, seed)
 
     def taken(m: str) -> Column:
-        return F.sum(F.get(m, F.col("start") + F.col("length")) - F.get(m, F.col("start"))).alias(m)
+        before = F.when(F.col("start") > 0, F.get(m, F.col("start") - 1)).otherwise(F.lit(0.0))
+        return F.sum(F.get(m, F.col("start") + F.col("length") - 1) - before).alias(m)
 
     sums = (
         runs.join(starts, ["segment", "n", "block_length"])

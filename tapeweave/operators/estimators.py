@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeweave.functions.expr import finite
-from tapeweave.functions.vectors import dot, moments, unpack, vector_size
+from tapeweave.functions.vectors import dot, field, moments, unpack, vector_size
 from tapeweave.operators.metrics import classification_metrics
 from tapeweave.session import written
 
@@ -42,7 +42,7 @@ def _slot_arrays(rows: DataFrame, own: list[str], statistics: dict[str, Column])
     per_slot = long.groupBy(*own, "j").agg(*[c.alias(n) for n, c in statistics.items()])
     ordered = F.array_sort(F.collect_list(F.struct("j", *statistics)))
     return per_slot.groupBy(*own).agg(ordered.alias("_s")).select(
-        *own, *[F.transform("_s", lambda s, n=n: s[n]).alias(n) for n in statistics]
+        *own, *[field("_s", n).alias(n) for n in statistics]
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import any_of
@@ -189,7 +189,7 @@ def outer_windows(rows: DataFrame) -> DataFrame:
     )
 
 
-def outer_train(rows: DataFrame, windows: DataFrame, horizon: int | None = None) -> DataFrame:
+def outer_train(rows: DataFrame, windows: DataFrame, horizon: int | Column = 0) -> DataFrame:
     """Train rows before each window's start; with a horizon, only those whose outcome ends before it.
 
     Windows are a few named rows: each train row unfolds into the windows it precedes.
@@ -197,7 +197,7 @@ def outer_train(rows: DataFrame, windows: DataFrame, horizon: int | None = None)
     bounds = windows.agg(
         F.collect_list(F.struct(F.col("validation_window_name").alias("name"), F.col("start_pos").alias("start")))
     ).scalar()
-    reach = F.col("pos") + F.lit(horizon or 0)
+    reach = F.col("pos") + (F.lit(horizon) if isinstance(horizon, int) else horizon)
     return (
         rows.filter(F.col("split") == "train")
         .select("*", bounds.alias("_windows"))

@@ -667,7 +667,7 @@ def f6_date_features(spark: SparkSession, sf: str) -> DataFrame:
 # --- G: forward outcomes -------------------------------------------------------------------
 
 
-def targets_sql(horizons: tuple[int, ...], symbol: str | None) -> str:
+def targets_sql(horizons: tuple[int, ...], symbol: str | None, source: str = "feats") -> str:
     scope = "valid_observation" + (f" AND symbol = '{symbol}'" if symbol else "")
     frames = ", ".join(
         f"f{h} AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in horizons
@@ -686,13 +686,13 @@ def targets_sql(horizons: tuple[int, ...], symbol: str | None) -> str:
         f"m.future_return_{h}d, m.future_realized_vol_{h}d, p.future_max_drawdown_{h}d, "
         f"m.future_return_{h}d / (m.future_realized_vol_{h}d + 1e-12) AS future_trend_score_{h}d" for h in horizons
     )}, true AS uses_future_data FROM (
-      SELECT date, symbol, row_number() OVER w AS pos, {columns} FROM feats WHERE {scope}
+      SELECT date, symbol, row_number() OVER w AS pos, {columns} FROM {source} WHERE {scope}
       WINDOW w AS (PARTITION BY symbol ORDER BY date), {frames}) m JOIN (
       SELECT symbol, pos, {falls} FROM (
         SELECT a.symbol, a.pos, b.pos - a.pos AS step,
         b.close / max(b.close) OVER (PARTITION BY a.symbol, a.pos ORDER BY b.pos) - 1 AS fall
-        FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM feats WHERE {scope}) a
-        JOIN (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM feats WHERE {scope}) b
+        FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM {source} WHERE {scope}) a
+        JOIN (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM {source} WHERE {scope}) b
         ON a.symbol = b.symbol AND b.pos BETWEEN a.pos AND a.pos + {max(horizons)}) GROUP BY symbol, pos) p
       ON m.symbol = p.symbol AND m.pos = p.pos"""
 
