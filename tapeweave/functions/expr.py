@@ -37,6 +37,11 @@ def ratio_or_zero(numerator: Column | str, denominator: Column | str) -> Column:
     return F.when(d > 0, n / d).otherwise(F.when(d.isNotNull() & n.isNotNull(), F.lit(0.0)))
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation from mergeable moments, NULL where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def rounded(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:
     """Round every double column; used where results are compared across engines."""
     skipped = set(skip)

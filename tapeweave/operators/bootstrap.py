@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.functions.expr import finite
+from tapeweave.functions.expr import finite, ratio
 from tapeweave.functions.vectors import field
 from tapeweave.operators.metrics import correlation
 
@@ -145,7 +145,9 @@ def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, sampl
         (F.sqrt(F.greatest("candidate_square", F.lit(0.0)) / rows) - F.sqrt(F.greatest("hand_square", F.lit(0.0)) / rows)).alias(
             "rmse_difference_vs_hand"
         ),
-        F.when(varied, cov / F.sqrt(av * pv)).otherwise(F.lit(0.0)).alias("pearson_correlation"),
+        F.when(varied, ratio(cov, F.sqrt(F.greatest(av * pv, F.lit(0.0))))).otherwise(F.lit(0.0)).alias(
+            "pearson_correlation"
+        ),
     )
 
 
@@ -194,7 +196,7 @@ def classification_draws(aligned: DataFrame, keys: list[str], segment: Column, s
     product = F.sum("pos").cast("double") * F.sum("neg")
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.groupBy(*keys, "draw").agg(
-        F.when(product > 0, wins / product).otherwise(F.lit(0.5)).alias("roc_auc"),
+        F.coalesce(ratio(wins, product), F.lit(0.5)).alias("roc_auc"),
         (F.sum("brier") / F.sum("rows")).alias("brier_score_difference_vs_hand"),
     )
 

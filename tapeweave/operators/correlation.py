@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.functions.expr import finite
+from tapeweave.functions.expr import finite, pearson, ratio
 from tapeweave.functions.ordered import average_ranks
 
 PAIR = ["segment", "transform", "coordinate", "feature"]
@@ -90,8 +90,8 @@ def detrended(pairs: DataFrame) -> DataFrame:
     )
 
     def residual(c: str):
-        slope, level = F.regr_slope(F.col(c), F.col("t")).over(group), F.regr_intercept(F.col(c), F.col("t")).over(group)
-        return F.col(c) - (level + slope * F.col("t"))
+        slope = ratio(F.covar_pop(c, "t").over(group), F.var_pop("t").over(group))
+        return F.col(c) - F.avg(c).over(group) - slope * (F.col("t") - F.avg("t").over(group))
 
     fitted = timed.select(*PAIR, "date", "n", "x", "y", residual("x").alias("rx"), residual("y").alias("ry"))
 
@@ -106,12 +106,12 @@ def correlations(pairs: DataFrame) -> DataFrame:
     """Count, Pearson, Spearman and r² of each pair group; NULL below three pairs or for a constant side."""
     ranked = average_ranks(average_ranks(pairs, PAIR, "x", "rx"), PAIR, "y", "ry")
     usable = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0)
-    pearson = F.when(usable, F.corr("x", "y"))
+    level = F.when(usable, pearson("x", "y"))
     return ranked.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("observation_count"),
-        pearson.alias("pearson_correlation"),
-        F.when(usable, F.corr("rx", "ry")).alias("spearman_correlation"),
-        (pearson * pearson).alias("pearson_r_squared"),
+        level.alias("pearson_correlation"),
+        F.when(usable, pearson("rx", "ry")).alias("spearman_correlation"),
+        (level * level).alias("pearson_r_squared"),
     )
 
 

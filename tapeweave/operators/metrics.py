@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeweave.functions.expr import finite, ratio_or_zero
+from tapeweave.functions.expr import finite, pearson, ratio, ratio_or_zero
 from tapeweave.functions.ordered import ROWS_PER_TASK, average_ranks, running_before
 
 CLIP = 1e-12
@@ -17,8 +17,7 @@ def finite_pairs(rows: DataFrame) -> DataFrame:
 
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation; 0 where a side is constant."""
-    varied = (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(varied, F.corr(a, b)).otherwise(F.lit(0.0))
+    return F.coalesce(pearson(a, b), F.lit(0.0))
 
 
 def regression_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,14 +32,14 @@ def regression_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.count(F.lit(1)).alias("scored_count"),
             F.sqrt(F.avg(residual * residual)).alias("rmse"),
             F.avg(F.abs(residual)).alias("mae"),
-            F.when(deviation > 0, 1 - F.avg(residual * residual) / deviation).otherwise(F.lit(0.0)).alias("r2"),
+            F.coalesce(1 - ratio(F.avg(residual * residual), deviation), F.lit(0.0)).alias("r2"),
             correlation("actual", "prediction").alias("pearson_correlation"),
             F.avg("actual").alias("actual_mean"),
             spread.alias("actual_std"),
             F.avg("prediction").alias("prediction_mean"),
             F.stddev_pop("prediction").alias("prediction_std"),
             F.avg(-residual).alias("bias"),
-            F.when(spread > 0, F.stddev_pop("prediction") / spread).otherwise(F.lit(0.0)).alias("std_ratio"),
+            F.coalesce(ratio(F.stddev_pop("prediction"), spread), F.lit(0.0)).alias("std_ratio"),
         )
     )
 
@@ -75,7 +74,7 @@ def roc_auc(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
     ranked = running_before(counts, keys, "probability", ["pos", "neg"], rows_per_task)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     product = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.groupBy(*keys).agg(F.when(product > 0, wins / product).otherwise(F.lit(0.5)).alias("roc_auc"))
+    return ranked.groupBy(*keys).agg(F.coalesce(ratio(wins, product), F.lit(0.5)).alias("roc_auc"))
 
 
 def average_precision(
@@ -105,7 +104,7 @@ def average_precision(
     depth = F.col("rows_before") + F.col("one_before") + 1
     positives = F.sum("hit")
     return placed.groupBy(*keys).agg(
-        F.when(positives > 0, F.sum(F.col("hit") * hits / depth) / positives).otherwise(F.lit(0.0)).alias("pr_auc")
+        F.coalesce(ratio(F.sum(F.col("hit") * hits / depth), positives), F.lit(0.0)).alias("pr_auc")
     )
 
 
@@ -116,7 +115,7 @@ def classification_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def share(label: int) -> Column:
         own = F.count_if(F.col("y") == label)
-        return F.when(own > 0, F.count_if(hit & (F.col("y") == label)) / own).otherwise(F.lit(0.0))
+        return F.coalesce(ratio(F.count_if(hit & (F.col("y") == label)), own), F.lit(0.0))
 
     loss = F.when(F.col("y") == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p")))
     return p.groupBy(*keys).agg(
