@@ -73,7 +73,11 @@ def running_before(
 
     Rows must be unique per group and value (aggregate ties first).
     """
-    bucketed = with_bucket(df, keys, value, split_points(df, keys, value, rows_per_task))
+    splits = split_points(df, keys, value, rows_per_task)
+    if splits is None:
+        smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(smaller), F.lit(0)).alias(f"{c}_before") for c in sums])
+    bucketed = with_bucket(df, keys, value, splits)
     inside = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums]
@@ -101,12 +105,36 @@ def tie_counts(df: DataFrame, keys: list[str], value: str, **sums: Column) -> Da
     )
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Adds the rank of the value inside its group, ties sharing their mean rank."""
-    ranked = running_before(tie_counts(df, keys, value), keys, value, ["ties"], rows_per_task).select(
-        *keys, value, (F.col("ties_before") + (F.col("ties") + 1) / 2).alias(rank)
-    )
-    return df.join(ranked, [*keys, value])
+def large_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> bool:
+    """Whether any group holds more rows than one task should sort."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.filter(F.col("n") > rows_per_task).isEmpty()
+
+
+def average_ranks(df: DataFrame, keys: list[str], ranks: dict[str, str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds the rank of each value column inside its group, ties sharing their mean rank.
+
+    ranks maps value columns to rank columns. Groups that fit a task are ranked by windows
+    over one exchange; larger ones value by value through buckets.
+    """
+    if not large_groups(df, keys, rows_per_task):
+        return df.select(
+            "*",
+            *[
+                (
+                    F.rank().over(Window.partitionBy(*keys).orderBy(value))
+                    + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+                ).alias(rank)
+                for value, rank in ranks.items()
+            ],
+        )
+    out = df
+    for value, rank in ranks.items():
+        ranked = running_before(tie_counts(df, keys, value), keys, value, ["ties"], rows_per_task).select(
+            *keys, value, (F.col("ties_before") + (F.col("ties") + 1) / 2).alias(rank)
+        )
+        out = out.join(ranked, [*keys, value])
+    return out
 
 
 def exact_percentiles(

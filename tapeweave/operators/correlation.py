@@ -10,6 +10,8 @@ from tapeweave.functions.ordered import average_ranks
 
 PAIR = ["segment", "transform", "coordinate", "feature"]
 TOLERANCE = 1e-10
+# Correlations equal to this many digits count as tied.
+TIE_DIGITS = 9
 
 
 def market_rows(features: DataFrame, panel: DataFrame, targets: DataFrame, market_symbol: str,
@@ -104,7 +106,7 @@ def detrended(pairs: DataFrame) -> DataFrame:
 
 def correlations(pairs: DataFrame) -> DataFrame:
     """Count, Pearson, Spearman and r² of each pair group; NULL below three pairs or for a constant side."""
-    ranked = average_ranks(average_ranks(pairs, PAIR, "x", "rx"), PAIR, "y", "ry")
+    ranked = average_ranks(pairs, PAIR, {"x": "rx", "y": "ry"})
     usable = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0)
     level = F.when(usable, pearson("x", "y"))
     return ranked.groupBy(*PAIR).agg(
@@ -118,5 +120,7 @@ def correlations(pairs: DataFrame) -> DataFrame:
 def strongest(table: DataFrame, count: int = 8) -> DataFrame:
     """The strongest features of each coordinate and transform over all rows, by absolute Pearson."""
     known = table.filter((F.col("segment") == "all") & finite("pearson_correlation"))
-    order = Window.partitionBy("coordinate", "transform").orderBy(F.desc(F.abs("pearson_correlation")), "feature")
+    order = Window.partitionBy("coordinate", "transform").orderBy(
+        F.desc(F.round(F.abs("pearson_correlation"), TIE_DIGITS)), "feature"
+    )
     return known.select("*", F.row_number().over(order).alias("place")).filter(F.col("place") <= count)

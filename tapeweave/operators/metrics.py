@@ -47,8 +47,7 @@ def regression_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 def spearman(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Correlation of average ranks per key; large keys are ranked in value buckets."""
     pairs = finite_pairs(rows).select(*keys, "actual", "prediction")
-    ranked = average_ranks(pairs, keys, "actual", "actual_rank", rows_per_task)
-    ranked = average_ranks(ranked, keys, "prediction", "prediction_rank", rows_per_task)
+    ranked = average_ranks(pairs, keys, {"actual": "actual_rank", "prediction": "prediction_rank"}, rows_per_task)
     return ranked.groupBy(*keys).agg(correlation("actual_rank", "prediction_rank").alias("spearman_correlation"))
 
 

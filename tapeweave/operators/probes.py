@@ -302,8 +302,13 @@ def classification_probes(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- scored results ----------------------------------------------------------------------------------
 
 
+CORE = [*CELL, "score_space", "predictor_name"]
+
+
 def _counts(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy(*IDENTITY).agg(
+    """Row counts per window, target, space and predictor with the rest of its identity."""
+    return predictions.groupBy(*CORE).agg(
+        *[F.min(c).alias(c) for c in IDENTITY if c not in CORE],
         F.count(F.lit(1)).alias("validation_count"),
         F.count_if("invalid_prediction").alias("invalid_prediction_count"),
         F.count_if("inverse_prediction_clipped").alias("inverse_prediction_clip_count"),
@@ -323,7 +328,7 @@ def regression_results(predictions: DataFrame) -> DataFrame:
     Models are compared with the train mean; incremental models with the same head on hand features.
     """
     rows = predictions.filter("task_type = 'regression'")
-    scored = full_regression_metrics(rows, IDENTITY).join(_counts(rows), IDENTITY)
+    scored = written(full_regression_metrics(rows, CORE).join(_counts(rows), CORE), "regression-scores")
     names = {"rmse": "rmse_ratio_vs_baseline", "mae": "mae_ratio_vs_baseline"}
     cell = [*CELL, "score_space"]
     plain = scored.filter(F.col("feature_family") != INCREMENTAL)
@@ -339,11 +344,12 @@ def classification_results(predictions: DataFrame) -> DataFrame:
     """Metrics per window, label and predictor with ratios to the class prior."""
     rows = predictions.filter("task_type = 'classification'")
     scored = (
-        classification_metrics(rows, IDENTITY)
-        .join(roc_auc(rows, IDENTITY), IDENTITY)
-        .join(average_precision(rows, IDENTITY, "date"), IDENTITY)
-        .join(_counts(rows), IDENTITY)
+        classification_metrics(rows, CORE)
+        .join(roc_auc(rows, CORE), CORE)
+        .join(average_precision(rows, CORE, "date"), CORE)
+        .join(_counts(rows), CORE)
         .withColumn("classification_label", F.col("target"))
     )
+    scored = written(scored, "classification-scores")
     names = {"brier_score": "brier_ratio_vs_baseline", "log_loss": "log_loss_ratio_vs_baseline"}
     return _with_base(scored, scored.filter("predictor_name = 'class_prior'"), CELL, names)

@@ -341,10 +341,12 @@ def r7_invalid_predictions(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@t.layer
 def line_results(spark: SparkSession, sf: str) -> DataFrame:
     return probes.regression_results(scored_lines(spark, sf))
 
 
+@t.layer
 def doc_results(spark: SparkSession, sf: str) -> DataFrame:
     return probes.classification_results(scored_documents(spark, sf))
 
@@ -834,7 +836,7 @@ def u7_correlations(spark: SparkSession, sf: str) -> DataFrame:
     "u8_strongest_features",
     with_tables(
         f"""SELECT coordinate, transform, feature, CAST(place AS INTEGER) AS place, {six(CORRELATIONS)} FROM (SELECT *, row_number() OVER
-        (PARTITION BY coordinate, transform ORDER BY abs(pearson_correlation) DESC, feature) AS place FROM ctable
+        (PARTITION BY coordinate, transform ORDER BY round(abs(pearson_correlation), 9) DESC, feature) AS place FROM ctable
         WHERE segment = 'all' AND pearson_correlation IS NOT NULL) WHERE place <= 8""",
         "ctable",
     ),
