@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tapeweave.operators.samples import SAMPLE, WindowConfig
+from tapeweave.session import spread
 
 
 def layout_counts(eligible: np.ndarray, targets: int, blocks: int) -> np.ndarray:
@@ -118,4 +119,4 @@ def target_masks(masks: DataFrame, config: WindowConfig, epoch: int = 0) -> Data
             T.StructField("visible", T.ArrayType(T.BooleanType())),
         ]
     )
-    return masks.select(*SAMPLE, "context", "eligible").mapInPandas(draw, schema)
+    return spread(masks.select(*SAMPLE, "context", "eligible"), *SAMPLE).mapInPandas(draw, schema)

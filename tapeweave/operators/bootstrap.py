@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeweave.functions.expr import finite, ratio
 from tapeweave.functions.vectors import field
 from tapeweave.operators.metrics import correlation
+from tapeweave.session import spread
 
 SAMPLES = 500
 SEED = 1729
@@ -130,7 +131,8 @@ def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, sampl
         return F.sum(F.get(m, F.col("start") + F.col("length") - 1) - before).alias(m)
 
     sums = (
-        runs.join(starts, ["segment", "n", "block_length"])
+        spread(runs, *keys)
+        .join(starts, ["segment", "n", "block_length"])
         .groupBy(*keys, "draw")
         .agg(F.sum("length").alias("rows"), *[taken(m) for m in measures])
     )
@@ -183,7 +185,7 @@ def classification_draws(aligned: DataFrame, keys: list[str], segment: Column, s
         F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position"),
     )
     weights = positions.groupBy("segment", "n", "block_length", "draw", "position").agg(F.count(F.lit(1)).alias("w"))
-    drawn = numbered.join(weights, ["segment", "n", "block_length", "position"])
+    drawn = spread(numbered, *keys).join(weights, ["segment", "n", "block_length", "position"])
     y, w = F.col("y"), F.col("w")
     levels = drawn.groupBy(*keys, "draw", "p").agg(
         F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tapeweave.functions.expr import finite
 from tapeweave.functions.vectors import dot, field, moments, unpack, vector_size
 from tapeweave.operators.metrics import classification_metrics
-from tapeweave.session import written
+from tapeweave.session import spread, written
 
 # Search grids of the heads.
 GRIDS = {
@@ -52,17 +52,18 @@ def standardize(design: DataFrame, keys: list[str]) -> DataFrame:
     Features without a finite train value leave the array; a zero deviation counts as one.
     """
     own = [*keys, "fold"]
+    design = spread(design, *own)
     known = F.when(finite("v"), F.col("v"))
     medians = _slot_arrays(design.filter("role = 'fit'"), own, {"middle": F.percentile(known, 0.5)})
     pairs = F.filter(F.arrays_zip("x", "middle"), lambda s: s["middle"].isNotNull())
     imputed = design.join(medians, own).withColumn(
         "x", F.transform(pairs, lambda s: F.when(finite(s["x"]), s["x"]).otherwise(s["middle"]))
     ).drop("middle")
-    spread = F.stddev_pop("v")
+    deviation = F.stddev_pop("v")
     scales = _slot_arrays(
         imputed.filter("role = 'fit'"),
         own,
-        {"center": F.avg("v"), "scale": F.when(spread > 0, spread).otherwise(F.lit(1.0))},
+        {"center": F.avg("v"), "scale": F.when(deviation > 0, deviation).otherwise(F.lit(1.0))},
     )
     centered = F.zip_with("x", "center", lambda x, c: x - c)
     return imputed.join(scales, own).withColumn("x", F.zip_with(centered, F.col("scale"), lambda x, s: x / s)).drop(
@@ -164,7 +165,7 @@ def fit_linear(design: DataFrame, keys: list[str], heads: tuple[str, ...]) -> Da
     """Ridge and elastic net coefficients of every candidate from one set of moments per key and fold."""
     own = [*keys, "fold"]
     rows = design.filter("role = 'fit' AND size(x) > 0").select(*own, F.concat("x", F.array("y")).alias("xy"))
-    packed = moments(rows, own, "xy")
+    packed = spread(moments(rows, own, "xy"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,7 +205,7 @@ def fit_iterative(design: DataFrame, keys: list[str], head: str) -> DataFrame:
         solved, intercepts = logistic_coefficients(x, y, np.array([a for a, _ in grid]))
         return _coefficient_rows(key, head, grid, solved, intercepts)
 
-    return rows.groupBy(*own).applyInPandas(solve, _coefficient_schema(design, own))
+    return spread(rows, *own).groupBy(*own).applyInPandas(solve, _coefficient_schema(design, own))
 
 
 def fit(design: DataFrame, keys: list[str], heads: tuple[str, ...]) -> DataFrame:

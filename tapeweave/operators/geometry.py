@@ -24,7 +24,7 @@ from tapeweave.functions.vectors import (
     vector_size,
 )
 from tapeweave.operators.splits import outer_train, outer_windows
-from tapeweave.session import written
+from tapeweave.session import spread, written
 
 # --- PCA --------------------------------------------------------------------------------
 
@@ -198,7 +198,7 @@ def block_pairs(rows: DataFrame, keys: list[str], row_id: str, vector: str) -> D
     partners = F.explode(F.sequence(F.col("row_block"), F.col("block_count") - 1)).alias("other_block")
     left = blocks.select(*keys, "row_block", F.col("vectors").alias("left"), partners)
     right = blocks.select(*keys, F.col("row_block").alias("other_block"), F.col("vectors").alias("right"))
-    return left.join(right, [*keys, "other_block"])
+    return spread(left.join(right, [*keys, "other_block"]))
 
 
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:

@@ -13,6 +13,7 @@ from tapeweave.functions.expr import (
     rolling,
     trailing,
 )
+from tapeweave.session import spread
 
 # Feature horizons in grid rows.
 HORIZONS = (5, 21, 63, 126)
@@ -27,10 +28,12 @@ def complete_grid(calendar: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every trading day for every symbol.
 
     The calendar has one row per day at most, so it travels as one array; each symbol
-    explodes it where it stands, which needs no product join and no shuffle.
+    explodes it where it stands, which needs no product join. The symbols are few bytes
+    before they unfold, so they are spread over all partitions first; the windows by symbol
+    that follow find their rows in place.
     """
     days = calendar.agg(F.array_sort(F.collect_set("date")).alias("days"))
-    return symbols.select("symbol").distinct().select(
+    return spread(symbols.select("symbol"), "symbol").distinct().select(
         "symbol", F.explode(days.scalar()).alias("date")
     )
 
@@ -79,11 +82,12 @@ def status_counts(panel: DataFrame) -> DataFrame:
 def asset_features(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Returns, volatility, drawdown, trend and path features over each symbol's own past.
 
-    All frames share one partitioning and one order, so the block costs one exchange.
+    All frames share one partitioning and one order, so the block costs one exchange. Long
+    frames cost far more than the bytes they read, hence the spread over all partitions.
     """
     own = by_symbol()
     log_close = F.ln("close")
-    base = panel.select(
+    base = spread(panel, "symbol").select(
         "*",
         log_close.alias("_log_close"),
         (log_close - F.lag(log_close, 1).over(own)).alias("return_1d"),

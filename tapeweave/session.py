@@ -40,6 +40,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tapeweave/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, by keys if given.
+
+    For work that costs far more per byte than a scan: left alone, adaptive execution sizes
+    partitions by bytes and would run few but costly rows in one task. Later steps that
+    group by the same keys need no further exchange.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back, so later passes do not recompute it."""
     path = scratch_path(df.sparkSession, label)
