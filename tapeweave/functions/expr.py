@@ -43,11 +43,11 @@ def pearson(a: Column | str, b: Column | str) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:
-    """Round every double column; used where results are compared across engines."""
+    """Round every double column, without negative zeros; used where results meet other engines."""
     skipped = set(skip)
     return df.select(
         *[
-            F.round(F.col(f"`{name}`"), digits).alias(name)
+            (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(name)
             if kind == "double" and name not in skipped
             else F.col(f"`{name}`")
             for name, kind in df.dtypes
