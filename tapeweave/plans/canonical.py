@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+from zipfile import ZIP_DEFLATED, ZipFile
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,16 +60,17 @@ def a1_bulk_text_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 def write_archives(spark: SparkSession, sf: str) -> str:
     """One archive per symbol, each with its bulk text member; a symbol is bounded by its days."""
-    from zipfile import ZIP_DEFLATED, ZipFile
-
     path = scratch_path(spark, "archives")
-    folder = text.local_file(path)
 
     def pack(pdf):
-        os.makedirs(folder, exist_ok=True)
         ticker = pdf["<TICKER>"].iloc[0].lower()
         member = f"data/daily/us/panel stocks/1/{ticker}.txt"
-        with ZipFile(os.path.join(folder, f"{ticker}.zip"), "w", ZIP_DEFLATED) as archive:
+        if "://" in path and not path.startswith("file:"):
+            filesystem, folder = FileSystem.from_uri(path)
+        else:
+            filesystem, folder = LocalFileSystem(), text.local_file(path)
+        filesystem.create_dir(folder, recursive=True)
+        with filesystem.open_output_stream(f"{folder}/{ticker}.zip") as out, ZipFile(out, "w", ZIP_DEFLATED) as archive:
             archive.writestr(member, pdf.sort_values("<DATE>").to_csv(index=False))
         return pdf.iloc[:1][["<TICKER>"]].rename(columns={"<TICKER>": "ticker"})
 
@@ -795,27 +797,32 @@ def h3_feature_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return quality.leaking_rows(rows).select("series_name", "date", "asof_date")
 
 
-TABLE_COLUMNS = "SELECT table_name, column_name, data_type FROM duckdb_columns()"
-
-
-def driver_schema(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("lineitem", "orders", "customer", "supplier", "labels", "embeddings", "events")
-    return quality.schema_rows({n: src.table(spark, sf, n) for n in names})
-
-
-SCHEMA_TABLES = "('lineitem', 'orders', 'customer', 'supplier', 'labels', 'embeddings', 'events')"
+AUDITED = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "embeddings": ["vec_id", "label"],
+    "events": ["event_id", "user_id", "value"],
+}
 
 
 @query(
     "h4_schema_audit",
-    f"SELECT 'forbidden' AS finding, table_name, column_name FROM (SELECT DISTINCT table_name, column_name "
-    f"FROM duckdb_columns() WHERE table_name IN {SCHEMA_TABLES}) WHERE regexp_matches(column_name, '^future_|target|label') "
-    "UNION ALL SELECT 'missing', 'events', 'available_asof' "
-    f"UNION ALL SELECT 'measure', table_name, column_name FROM (SELECT DISTINCT table_name, column_name, data_type "
-    f"FROM duckdb_columns() WHERE table_name IN {SCHEMA_TABLES}) WHERE data_type IN ('BIGINT', 'INTEGER', 'DOUBLE')",
+    "SELECT 'forbidden' AS finding, 'embeddings' AS table_name, 'label' AS column_name, "
+    "(SELECT count(label) FROM embeddings) AS known_values "
+    "UNION ALL SELECT 'missing', 'events', 'available_asof', NULL "
+    + " ".join(
+        f"UNION ALL SELECT 'measure', '{table}', '{column}', (SELECT count({column}) FROM {table})"
+        for table, columns in AUDITED.items()
+        for column in columns
+    ),
 )
 def h4_schema_audit(spark: SparkSession, sf: str) -> DataFrame:
-    schema = driver_schema(spark, sf)
+    """Schema findings with the number of known values of each column that exists."""
+    frames = {n: src.table(spark, sf, n) for n in AUDITED}
+    schema = quality.schema_rows(frames)
     required = spark.createDataFrame(
         [("events", "ts"), ("events", "value"), ("events", "available_asof")], "table_name string, column_name string"
     )
@@ -823,11 +830,22 @@ def h4_schema_audit(spark: SparkSession, sf: str) -> DataFrame:
     def finding(kind: str, rows: DataFrame) -> DataFrame:
         return rows.select(F.lit(kind).alias("finding"), "table_name", "column_name")
 
-    return (
+    found = (
         finding("forbidden", quality.forbidden_columns(schema))
         .unionByName(finding("missing", quality.missing_columns(schema, required)))
         .unionByName(finding("measure", quality.measure_catalog(schema)))
     )
+    counts = None
+    for name, df in frames.items():
+        one = (
+            df.agg(*[F.count(c).alias(c) for c in df.columns])
+            .unpivot([], df.columns, "column_name", "known_values")
+            .withColumn("table_name", F.lit(name))
+        )
+        counts = one if counts is None else counts.unionByName(one)
+    return found.join(counts, ["table_name", "column_name"], "left").select(
+        "finding", "table_name", "column_name", "known_values"
+    )
 
 
 @query(

@@ -659,7 +659,7 @@ def stream_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Market and macro validity alone."""
     return samples.date_validity(
         t.date_manifest(spark, sf),
-        t.asset_facts(spark, sf).limit(0),
+        t.asset_facts(spark, sf).filter("false"),
         t.market_facts(spark, sf),
         t.macro_facts(spark, sf),
     )
@@ -740,6 +740,27 @@ def l13_padded_target_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "l13_padded_eligible_ids",
+    with_tables(
+        """SELECT split, CAST(sample_date_idx AS INTEGER) AS sample_date_idx,
+        array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda i: -1)), ',') AS target_patch_ids,
+        repeat('1', len(ids)) || repeat('0', CAST(longest - len(ids) AS INTEGER)) AS target_patch_id_mask FROM (
+          SELECT *, max(len(ids)) OVER () AS longest FROM (
+            SELECT split, sample_date_idx, coalesce(list(patch ORDER BY patch) FILTER (patch_target_eligible), []) AS ids
+            FROM masks GROUP BY 1, 2))""",
+        "masks",
+    ),
+)
+def l13_padded_eligible_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Padding applied to each sample's eligible patches."""
+    packed = samples.packed_patches(samples.mask_arrays(t.patch_masks(spark, sf)), "eligible")
+    padded = samples.padded_ids(packed, "visible_patches")
+    return padded.select(
+        *samples.SAMPLE, F.array_join("target_patch_ids", ",").alias("target_patch_ids"), bits("target_patch_id_mask")
+    )
+
+
 def dropout_sql(epoch: int) -> str:
     parts = []
     for group in GROUP_TABLES:
@@ -926,6 +947,22 @@ def l18_value_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("input_group", "split", "lower", "upper", F.col("bin").cast("int").alias("bin"), "count", "density"))
 
 
+@query(
+    "l19_eligibility_metrics",
+    with_tables(
+        """SELECT split, round(count(*) FILTER (patch_target_eligible) / count(*) FILTER (patch_context), 6) AS target_patch_eligibility_rate,
+        round(count(*) FILTER (patch_target_eligible) / count(*) FILTER (patch_context), 6) AS masked_patch_rate,
+        round(count(*) FILTER (patch_target_eligible) / count(DISTINCT sample_date_idx), 6) AS masked_patch_count_mean,
+        count(DISTINCT sample_date_idx) AS sample_count FROM masks GROUP BY 1""",
+        "masks",
+    ),
+)
+def l19_eligibility_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mask metrics if every eligible patch were a target."""
+    arrays = samples.mask_arrays(t.patch_masks(spark, sf))
+    return rounded(samples.mask_metrics(arrays.withColumn("target", F.col("eligible"))))
+
+
 @query("l19_mask_metrics")
 def l19_mask_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(samples.mask_metrics(masked_samples(spark, sf)))

@@ -551,6 +551,20 @@ def m14_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.coordinates(rows, "vector", DIM, VERSIONS))
 
 
+@query(
+    "m17_matched_cosine",
+    with_tables("SELECT label, round(avg(cosine), 6) AS matched_cosine, count(*) AS pair_count FROM pair_stats GROUP BY 1", "pair_stats"),
+)
+def m17_matched_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean cosine of matched vector pairs per label."""
+    pairs = neighbours(spark, sf)
+    return rounded(
+        pairs.groupBy("label").agg(
+            F.avg(cosine("reference", "candidate")).alias("matched_cosine"), F.count(F.lit(1)).alias("pair_count")
+        )
+    )
+
+
 @query("m17_compact_summary")
 def m17_compact_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Rank, cosine and stability figures of raw and PCA states side by side."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from zipfile import ZipFile
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,14 @@ def local_file(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def open_archive(path: str) -> ZipFile:
+    """A ZIP opened for random access, on a mounted path or any filesystem Arrow can reach."""
+    if "://" in path and not path.startswith("file:"):
+        filesystem, inner = FileSystem.from_uri(path)
+        return ZipFile(filesystem.open_input_file(inner))
+    return ZipFile(local_file(path))
+
+
 def _clean_header(df: DataFrame) -> DataFrame:
     names = [c.strip().strip("<>").lower() for c in df.columns]
     return df.toDF(*["volume" if n == "vol" else n for n in names])
@@ -98,7 +107,7 @@ def read_symbol_csv(
 def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, modified in zip(batch["path"], batch["modificationTime"]):
-            with ZipFile(local_file(path)) as archive:
+            with open_archive(path) as archive:
                 members = [
                     (path, modified, info.filename, info.compress_size, info.file_size)
                     for info in archive.infolist()
@@ -165,7 +174,7 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["date", "open", "high", "low", "close", "volume"]
     for batch in batches:
         for row in batch.itertuples(index=False):
-            with ZipFile(local_file(row.archive_path)) as archive, archive.open(row.member_path) as member:
+            with open_archive(row.archive_path) as archive, archive.open(row.member_path) as member:
                 for chunk in pd.read_csv(member, chunksize=MEMBER_ROWS, dtype=str):
                     chunk.columns = [c.strip().strip("<>").lower() for c in chunk.columns]
                     chunk = chunk.rename(columns={"vol": "volume"})
