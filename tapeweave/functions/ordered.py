@@ -111,13 +111,22 @@ def large_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_T
     return not sizes.filter(F.col("n") > rows_per_task).isEmpty()
 
 
-def average_ranks(df: DataFrame, keys: list[str], ranks: dict[str, str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def average_ranks(
+    df: DataFrame,
+    keys: list[str],
+    ranks: dict[str, str],
+    rows_per_task: int = ROWS_PER_TASK,
+    large: bool | None = None,
+) -> DataFrame:
     """Adds the rank of each value column inside its group, ties sharing their mean rank.
 
     ranks maps value columns to rank columns. Groups that fit a task are ranked by windows
-    over one exchange; larger ones value by value through buckets.
+    over one exchange; larger ones value by value through buckets. large says which holds
+    where the caller knows; otherwise the groups are counted first.
     """
-    if not large_groups(df, keys, rows_per_task):
+    if large is None:
+        large = large_groups(df, keys, rows_per_task)
+    if not large:
         return df.select(
             "*",
             *[

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite, pearson, ratio, ratio_or_zero
 from tapeweave.functions.ordered import ROWS_PER_TASK, average_ranks, running_before
+from tapeweave.session import written
 
 CLIP = 1e-12
 
@@ -20,39 +21,57 @@ def correlation(a: str, b: str) -> Column:
     return F.coalesce(pearson(a, b), F.lit(0.0))
 
 
-def regression_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Error, fit, level and spread figures of the finite pairs of each key, in one mergeable aggregate."""
-    residual = F.col("actual") - F.col("prediction")
-    deviation = F.var_pop("actual")
-    spread = F.stddev_pop("actual")
+def regression_metrics(rows: DataFrame, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Error, fit, level and spread figures of the finite pairs of each key, in one mergeable aggregate.
+
+    extra aggregates run over all rows of the key in the same pass.
+    """
+    known = finite("actual") & finite("prediction")
+    paired = rows.withColumns(
+        {"_a": F.when(known, F.col("actual")), "_p": F.when(known, F.col("prediction"))}
+    )
+    residual = F.col("_a") - F.col("_p")
+    spread = F.stddev_pop("_a")
+    zero = F.lit(0.0)
     return (
-        finite_pairs(rows)
-        .groupBy(*keys)
+        paired.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("scored_count"),
+            F.count("_a").alias("scored_count"),
             F.sqrt(F.avg(residual * residual)).alias("rmse"),
             F.avg(F.abs(residual)).alias("mae"),
-            F.coalesce(1 - ratio(F.avg(residual * residual), deviation), F.lit(0.0)).alias("r2"),
-            correlation("actual", "prediction").alias("pearson_correlation"),
-            F.avg("actual").alias("actual_mean"),
+            F.coalesce(1 - ratio(F.avg(residual * residual), F.var_pop("_a")), zero).alias("r2"),
+            correlation("_a", "_p").alias("pearson_correlation"),
+            F.avg("_a").alias("actual_mean"),
             spread.alias("actual_std"),
-            F.avg("prediction").alias("prediction_mean"),
-            F.stddev_pop("prediction").alias("prediction_std"),
+            F.avg("_p").alias("prediction_mean"),
+            F.stddev_pop("_p").alias("prediction_std"),
             F.avg(-residual).alias("bias"),
-            F.coalesce(ratio(F.stddev_pop("prediction"), spread), F.lit(0.0)).alias("std_ratio"),
+            F.coalesce(ratio(F.stddev_pop("_p"), spread), zero).alias("std_ratio"),
+            *extra,
         )
+        .filter(F.col("scored_count") > 0)
     )
 
 
-def spearman(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spearman(
+    rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK, large: bool | None = None
+) -> DataFrame:
     """Correlation of average ranks per key; large keys are ranked in value buckets."""
     pairs = finite_pairs(rows).select(*keys, "actual", "prediction")
-    ranked = average_ranks(pairs, keys, {"actual": "actual_rank", "prediction": "prediction_rank"}, rows_per_task)
+    ranked = average_ranks(
+        pairs, keys, {"actual": "actual_rank", "prediction": "prediction_rank"}, rows_per_task, large
+    )
     return ranked.groupBy(*keys).agg(correlation("actual_rank", "prediction_rank").alias("spearman_correlation"))
 
 
-def full_regression_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return regression_metrics(rows, keys).join(spearman(rows, keys), keys)
+def full_regression_metrics(rows: DataFrame, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """All regression metrics: one pass for the moments, one for the ranks.
+
+    The first pass is written, and its counts tell how the ranks can be taken.
+    """
+    base = written(regression_metrics(rows, keys, extra), "regression-metrics")
+    largest = base.agg(F.max("scored_count").alias("n")).first().n or 0
+    return base.join(spearman(rows, keys, ROWS_PER_TASK, largest > ROWS_PER_TASK), keys)
 
 
 def clipped_probability(column: str = "prediction") -> Column:

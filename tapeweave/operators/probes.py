@@ -305,9 +305,9 @@ def classification_probes(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 CORE = [*CELL, "score_space", "predictor_name"]
 
 
-def _counts(predictions: DataFrame) -> DataFrame:
-    """Row counts per window, target, space and predictor with the rest of its identity."""
-    return predictions.groupBy(*CORE).agg(
+def _counts() -> tuple[Column, ...]:
+    """Row counts per window, target, space and predictor, and the rest of its identity."""
+    return (
         *[F.min(c).alias(c) for c in IDENTITY if c not in CORE],
         F.count(F.lit(1)).alias("validation_count"),
         F.count_if("invalid_prediction").alias("invalid_prediction_count"),
@@ -328,7 +328,7 @@ def regression_results(predictions: DataFrame) -> DataFrame:
     Models are compared with the train mean; incremental models with the same head on hand features.
     """
     rows = predictions.filter("task_type = 'regression'")
-    scored = written(full_regression_metrics(rows, CORE).join(_counts(rows), CORE), "regression-scores")
+    scored = written(full_regression_metrics(rows, CORE, _counts()), "regression-scores")
     names = {"rmse": "rmse_ratio_vs_baseline", "mae": "mae_ratio_vs_baseline"}
     cell = [*CELL, "score_space"]
     plain = scored.filter(F.col("feature_family") != INCREMENTAL)
@@ -347,7 +347,7 @@ def classification_results(predictions: DataFrame) -> DataFrame:
         classification_metrics(rows, CORE)
         .join(roc_auc(rows, CORE), CORE)
         .join(average_precision(rows, CORE, "date"), CORE)
-        .join(_counts(rows), CORE)
+        .join(rows.groupBy(*CORE).agg(*_counts()), CORE)
         .withColumn("classification_label", F.col("target"))
     )
     scored = written(scored, "classification-scores")
