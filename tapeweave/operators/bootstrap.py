@@ -157,7 +157,7 @@ def block_starts_by_shape(shapes: DataFrame, samples: int, seed: int) -> DataFra
     """Starts once per distinct (segment, n, block length); keys of equal shape share their draws."""
     named = shapes.select("segment", "n", "block_length", F.col("n").alias("shape_n"), F.col("block_length").alias("shape_b"))
     return block_starts(named, ["shape_n", "shape_b"], samples, seed).select(
-        "segment", F.col("shape_n").alias("n"), F.col("shape_b").alias("block_length"), "draw", "start", "length"
+        "segment", F.col("shape_n").alias("n"), F.col("shape_b").alias("block_length"), "draw", "block", "start", "length"
     )
 
 
@@ -180,10 +180,7 @@ def classification_draws(aligned: DataFrame, keys: list[str], segment: Column, s
         F.count(F.lit(1)).over(Window.partitionBy(*keys, "segment")).cast("int").alias("n"),
     )
     shapes = numbered.select("segment", "n", "block_length").distinct()
-    positions = block_starts_by_shape(shapes, samples, seed).select(
-        "segment", "n", "block_length", "draw",
-        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position"),
-    )
+    positions = resampled_positions(block_starts_by_shape(shapes, samples, seed), ["n", "block_length"])
     weights = positions.groupBy("segment", "n", "block_length", "draw", "position").agg(F.count(F.lit(1)).alias("w"))
     drawn = spread(numbered, *keys).join(weights, ["segment", "n", "block_length", "position"])
     y, w = F.col("y"), F.col("w")

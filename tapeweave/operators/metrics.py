@@ -194,17 +194,6 @@ def with_validity(rows: DataFrame, target: str = "score_target_name", space: str
 # --- comparisons ------------------------------------------------------------------------------------
 
 
-def ratios_to_baseline(results: DataFrame, keys: list[str], predictor: str, metrics: dict[str, str]) -> DataFrame:
-    """Adds <name> = metric over the baseline predictor's metric of the same key; 0 for a zero baseline."""
-    base = results.filter(F.col("predictor_name") == predictor).select(
-        *keys, *[F.col(m).alias(f"_base_{m}") for m in metrics]
-    )
-    joined = results.join(base, keys, "left")
-    return joined.select(
-        *results.columns, *[ratio_or_zero(m, f"_base_{m}").alias(name) for m, name in metrics.items()]
-    )
-
-
 def incremental_comparison(results: DataFrame, keys: list[str], hand: str, both: str) -> DataFrame:
     """Hand-only against hand-plus-vector metrics of the same key and head.
 

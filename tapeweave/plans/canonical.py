@@ -12,7 +12,7 @@ from tapeweave.functions.expr import rounded
 from tapeweave.operators import crosssec, dims, macro, panel, quality, targets
 from tapeweave.plans import tables
 from tapeweave.plans.registry import query
-from tapeweave.plans.sqlbase import FEED_SYMBOL, MACRO_COLUMNS, r6, with_tables
+from tapeweave.plans.sqlbase import MACRO_COLUMNS, r6, with_tables
 from tapeweave.session import scratch_path
 from tapeweave.sources import driver_tables as src
 from tapeweave.sources import publish, text
