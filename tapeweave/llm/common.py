@@ -38,3 +38,19 @@ def take_rows(docs: DataFrame, key: Column, keep: DataFrame) -> DataFrame:
         .filter("__row_number = 1")
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
+
+
+def bounded_sample(labelled: DataFrame, label: str, keys: list[str], rows: int) -> DataFrame:
+    """About `rows` rows of labelled at most, the same number from each label where it has them.
+
+    Rows are chosen by a hash of their keys, so the choice does not depend on partitioning;
+    the hard limit of twice as many rows only matters if many rows share one key. Adds
+    `__rate`, the share of the label's rows that are taken.
+    """
+    counts = {row[label]: row["count"] for row in labelled.groupBy(label).count().collect()}
+    if not counts:
+        return labelled.withColumn("__rate", F.lit(1.0)).limit(0)
+    each = max(1, rows // len(counts))
+    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])[F.col(label)]
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.withColumn("__rate", rate).filter(spot < F.col("__rate")).limit(2 * rows)
