@@ -163,6 +163,11 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for these small matrices, without the threads that a linear algebra library starts."""
+    return np.einsum("ij,j->i" if b.ndim == 1 else "ij,jk->ik", a, b)
+
+
 def column_generation(
     sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = MOST_PATTERNS
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -173,26 +178,25 @@ def column_generation(
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    uses = inverse @ demand
+    uses = _times(inverse, demand)
     for step in range(most):
         duals = inverse.sum(axis=0)
         value, column = knapsack(duals, sizes, capacity)
         if value <= 1 + 1e-7:
             break
-        direction = inverse @ column
+        direction = _times(inverse, column)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratios = np.where(direction > 1e-9, uses / direction, np.inf)
         leaves = int(ratios.argmin())
         if not np.isfinite(ratios[leaves]):
             break
         basis[:, leaves] = column
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-        else:
-            pivot = inverse[leaves] / direction[leaves]
-            inverse -= np.outer(direction, pivot)
-            inverse[leaves] = pivot
-        uses = np.maximum(inverse @ demand, 0.0)
+        pivot = inverse[leaves] / direction[leaves]
+        inverse -= direction[:, None] * pivot[None]
+        inverse[leaves] = pivot
+        if step % 200 == 199:  # a Newton step takes out what rounding has added up
+            inverse = 2 * inverse - _times(inverse, _times(basis, inverse))
+        uses = np.maximum(_times(inverse, demand), 0.0)
     return basis.astype(np.int64), uses
 
 
