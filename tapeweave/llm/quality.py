@@ -1,8 +1,8 @@
 """Quality from weak labels.
 
 Overlapping heuristic labellers vote on every text: bad, good, or nothing. Expectation
-maximisation over the counted vote patterns of all rows (at most 3 ** labellers rows on the
-driver) estimates how each labeller votes on good and on bad texts, and gives each pattern
+maximisation over the counted vote patterns of all rows (each labeller votes one way or not:
+at most 2 ** labellers patterns on the driver) estimates how each labeller votes on good and on bad texts, and gives each pattern
 its posterior. The posteriors of a bounded sample (SAMPLE_ROWS) train a hashed linear scorer
 over shape n-grams and binned statistics of a text; every whole text is scored by it.
 """
@@ -27,6 +27,7 @@ BITS = 14
 SCALE = 20.0
 ROUNDS = 200
 REJECT = 0.5
+LEAST_RIGHT = 0.95
 
 GOOD, BAD, NONE = 0, 1, 2
 
@@ -106,33 +107,33 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, shapes, bounds
 
 
-# Fixed values: (statistic, good up to, bad from) of each labeller; between, it does not vote.
-# Where "good up to" is above "bad from", small values are bad.
+# Name, statistic, vote, and the range in which the labeller casts it.
 LABELLERS = [
-    ("upper_share", 0.2, 0.5),
-    ("symbols_a_word", 0.05, 0.3),
-    ("bangs_a_word", 0.05, 0.3),
-    ("bars_a_word", 0.02, 0.1),
-    ("distinct_share", 0.45, 0.3),
-    ("repeated_lines", 0.1, 0.5),
-    ("letter_share", 0.75, 0.55),
-    ("word_length", 12.0, 25.0),
-    ("digit_share", 0.1, 0.6),
+    ("capitals", "upper_share", BAD, 0.5, np.inf),
+    ("symbols", "symbols_a_word", BAD, 0.3, np.inf),
+    ("bangs", "bangs_a_word", BAD, 0.3, np.inf),
+    ("bars", "bars_a_word", BAD, 0.1, np.inf),
+    ("few words", "distinct_share", BAD, 0.0, 0.3),
+    ("repeated lines", "repeated_lines", BAD, 0.5, np.inf),
+    ("few letters", "letter_share", BAD, 0.0, 0.4),
+    ("long words", "word_length", BAD, 25.0, np.inf),
+    ("digits", "digit_share", BAD, 0.6, np.inf),
+    ("sentence case", "upper_share", GOOD, 0.001, 0.15),
+    ("plain words", "letter_share", GOOD, 0.85, np.inf),
+    ("varied words", "distinct_share", GOOD, 0.45, np.inf),
 ]
+#: Repetition tells nothing about texts of fewer words.
+LEAST_WORDS = 40
 
 
 def votes(stats: np.ndarray) -> np.ndarray:
     """GOOD, BAD or NONE of each labeller; texts without words get no vote."""
     out = np.full((len(stats), len(LABELLERS)), NONE, dtype=np.int8)
-    for k, (name, good, bad) in enumerate(LABELLERS):
-        value = stats[:, STATISTICS.index(name)]
-        if good > bad:
-            value, good, bad = -value, -good, -bad
-        out[:, k] = np.where(value <= good, GOOD, np.where(value >= bad, BAD, NONE))
-    # Few words repeat by chance and tell nothing about repetition.
-    few = stats[:, 0] < 40
-    out[few, [name for name, _, _ in LABELLERS].index("distinct_share")] = NONE
-    out[stats[:, 0] == 0] = NONE
+    words = stats[:, 0]
+    for k, (_, statistic, vote, low, high) in enumerate(LABELLERS):
+        value = stats[:, STATISTICS.index(statistic)]
+        least = LEAST_WORDS if statistic == "distinct_share" else 1
+        out[(value >= low) & (value <= high) & (words >= least), k] = vote
     return out
 
 
@@ -144,8 +145,7 @@ def unpacked(patterns: np.ndarray) -> np.ndarray:
     return (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
 
 
-@F.pandas_udf("int")
-def vote_pattern(texts: pd.Series) -> pd.Series:
+def vote_patterns(texts: pd.Series) -> pd.Series:
     out = np.zeros(len(texts), dtype=np.int64)
     for first, part in chunks(texts.tolist()):
         stats, _, _ = statistics(part)
@@ -159,10 +159,13 @@ def vote_pattern(texts: pd.Series) -> pd.Series:
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> dict:
     """EM for two classes with independent labellers: share of bad, and P(vote | class, labeller).
 
-    Starts from "bad if any labeller says so", which also names the classes.
+    Starts from "bad if any labeller says so", which also names the classes. A labeller sees
+    one kind of bad text, so labellers seldom agree; free estimates would take the kind that
+    several of them see for the whole class. So a labeller's bad votes are taken to be right
+    LEAST_RIGHT of the time at least.
     """
     cast = unpacked(patterns)
-    posterior = np.where((cast == BAD).any(axis=1), 0.9, 0.05)
+    posterior = np.where((cast == BAD).any(axis=1), 0.999, 0.001)
     total = counts.sum()
     for _ in range(rounds):
         share = np.clip((posterior * counts).sum() / total, 1e-6, 1 - 1e-6)
@@ -170,6 +173,10 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS)
         for cls, weight in ((GOOD, (1 - posterior) * counts), (BAD, posterior * counts)):
             for vote in (GOOD, BAD, NONE):
                 table_of[cls, :, vote] = ((cast == vote) * weight[:, None]).sum(axis=0) + 0.5
+        cried = table_of[:, :, BAD].sum(axis=0)
+        excess = np.maximum(table_of[GOOD, :, BAD] - (1 - LEAST_RIGHT) * cried, 0)
+        table_of[GOOD, :, BAD] -= excess
+        table_of[BAD, :, BAD] += excess
         table_of /= table_of.sum(axis=2, keepdims=True)
         new = _posterior(cast, share, table_of)
         moved = np.abs(new - posterior).max()
@@ -189,11 +196,11 @@ def _posterior(cast: np.ndarray, share: float, table_of: np.ndarray) -> np.ndarr
 
 
 def accuracies(model: dict) -> list[tuple[str, float]]:
-    """Of each labeller's votes, the estimated share that is right."""
+    """The share of each labeller's votes that is right, as estimated."""
     p = model["votes"]
     right = (1 - model["share"]) * p[GOOD][:, GOOD] + model["share"] * p[BAD][:, BAD]
     wrong = (1 - model["share"]) * p[GOOD][:, BAD] + model["share"] * p[BAD][:, GOOD]
-    return [(name, float(r / (r + w))) for (name, _, _), r, w in zip(LABELLERS, right, wrong, strict=True)]
+    return [(name, float(r / (r + w))) for (name, *_), r, w in zip(LABELLERS, right, wrong, strict=True)]
 
 
 # ---- scorer -------------------------------------------------------------------------------
@@ -253,7 +260,8 @@ def fit(sample: DataFrame, posterior: dict[int, float]) -> np.ndarray:
 
 def learn(docs: DataFrame) -> tuple[np.ndarray, dict]:
     """The scorer's weights and the label model from docs(doc_id, text); no labels are read."""
-    counted = docs.select(vote_pattern("text").alias("votes")).groupBy("votes").count().collect()
+    cast = F.pandas_udf(vote_patterns, "int")
+    counted = docs.select(cast("text").alias("votes")).groupBy("votes").count().collect()
     if not counted:
         return np.zeros((1 << BITS) + 1), {}
     model = label_model(np.array([r["votes"] for r in counted]), np.array([float(r["count"]) for r in counted]))

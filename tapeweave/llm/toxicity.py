@@ -22,11 +22,11 @@ from tapeweave.llm.textcodes import Words, chunks, code_points
 
 KIND_BITS = 22
 KINDS = 4
-STEM = 5
+STEM = 4
 SAMPLE_ROWS = 10_000
-EPOCHS = 3
+EPOCHS = 6
 #: Training rows that a feature must stand in.
-LEAST_ROWS = 2
+LEAST_ROWS = 3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -54,7 +54,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             stands[at] = np.minimum(stands[at], 250) + 1
             examples.append((at.astype(np.int32), float(label)))
         examples = [(at[stands[at] >= LEAST_ROWS], label) for at, label in examples]
-        model = Ftrl(size, alpha=0.3, l1=1.0, l2=0.1)
+        model = Ftrl(size, alpha=1.0, l1=3.0, l2=0.05)
         for _ in range(EPOCHS):
             for at, label in examples:
                 model.fit(at, np.ones(len(at)), label)
