@@ -217,7 +217,7 @@ def main_text(page: str | None, deleted: list[int] | None) -> str:
     lines = lines_of(page)
     if any(part == ARTICLE for part, _ in lines):
         return " ".join(t for part, t in lines if part == ARTICLE)
-    left = list(deleted or [])[::-1]
+    left = list(deleted)[::-1] if deleted is not None else []
     out = []
     for part, t in lines:
         if part != NEUTRAL:

@@ -93,7 +93,10 @@ def fit(sample: DataFrame, idf: np.ndarray, languages: list[str]) -> dict:
     number = {lang: k for k, lang in enumerate(languages)}
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pd.concat(batches, ignore_index=True)
         rows = rows.sort_values(["spot", "text"], kind="stable")  # any order of arrival gives one model
         learns = rows[~rows["calibrates"]]
         model = Ftrl(FEATURES, len(languages), alpha=0.5, l1=0.05, l2=0.05)

@@ -234,7 +234,10 @@ def fit(sample: DataFrame, posterior: dict[int, float]) -> np.ndarray:
     """Weights of the hashed features, the last the intercept, from sample(text, spot)."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["spot", "text"], kind="stable")
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pd.concat(batches, ignore_index=True).sort_values(["spot", "text"], kind="stable")
         model, examples = Ftrl(1 << BITS, alpha=0.5, l1=0.02, l2=0.01), []
         for text in rows["text"]:
             stats, shapes, bounds = statistics([text or ""])

@@ -44,7 +44,10 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, the weights, and the intercept, from sample(text, toxic, spot)."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pd.concat(batches, ignore_index=True)
         rows = rows.sort_values(["spot", "text"], kind="stable")  # any order of arrival gives one model
         size = KINDS << KIND_BITS
         stands = np.zeros(size, dtype=np.uint8)
