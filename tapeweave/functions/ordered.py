@@ -1,8 +1,11 @@
 """Exact order statistics that never put one large group on one task.
 
-A group is split only where it is larger than a task should hold: its split points are
-collected once (a bounded list per large group), every row finds its bucket by them, and
-only bucket totals, bounded by groups times buckets, are combined across buckets.
+One path for every size: ties are aggregated first, then each group's distinct values fall
+into buckets between split points, rows are ordered inside buckets only, and bucket totals
+(groups times buckets) are combined across them. A group gets one bucket for every
+ROWS_PER_BUCKET of its distinct values, MOST_BUCKETS at most. Split points come from one
+bounded sketch per group; they stay a distributed table, and nothing runs before the result
+is asked for.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_BUCKET = 500_000
+MOST_BUCKETS = 1024
 BUCKET = "_bucket"
 
 
@@ -27,74 +31,69 @@ def ordinal(df: DataFrame, value: str) -> Column:
     return F.col(value).cast("double")
 
 
-def split_points(df: DataFrame, keys: list[str], value: str, rows_per_task: int) -> DataFrame | None:
-    """Value split points of the groups above rows_per_task, or None if there is none.
-
-    At most rows / rows_per_task groups can qualify, so the collected result stays small.
-    """
-    known = df.filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.filter(F.col("n") > rows_per_task).collect()
-    if not largest:
-        return None
-    pieces = 1 + max(row.n for row in largest) // rows_per_task
-    shares = [i / pieces for i in range(1, pieces)]
-    key_schema = T.StructType([df.schema[k] for k in keys])
-    spark = df.sparkSession
-    hot = spark.createDataFrame([tuple(row[k] for k in keys) for row in largest], key_schema) if keys else None
-    rows = known.join(F.broadcast(hot), keys, "left_semi") if keys else known
-    sketched = rows.groupBy(*keys).agg(
-        F.array_sort(
-            F.array_distinct(F.percentile_approx(ordinal(df, value), shares, max(10_000, 20 * pieces)))
-        ).alias("_splits")
+def split_points(levels: DataFrame, keys: list[str], value: str, rows_per_bucket: int) -> DataFrame:
+    """One row per group with its ascending split points: none for groups of one bucket."""
+    shares = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    sketched = levels.groupBy(*keys).agg(
+        F.count(value).alias("_levels"),
+        F.percentile_approx(ordinal(levels, value), shares, 10 * MOST_BUCKETS).alias("_points"),
+    )
+    buckets = F.least(F.lit(MOST_BUCKETS), F.floor(F.col("_levels") / rows_per_bucket) + 1)
+    step = F.ceil(F.lit(MOST_BUCKETS) / buckets)
+    chosen = F.filter("_points", lambda p, i: (i + 1) % step == 0)
+    return sketched.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.array_sort(F.array_distinct(chosen)).alias("_splits")
     )
-    schema = T.StructType([*key_schema.fields, T.StructField("_splits", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame([tuple(row) for row in sketched.collect()], schema)
 
 
-def with_bucket(df: DataFrame, keys: list[str], value: str, splits: DataFrame | None) -> DataFrame:
-    """Add the number of split points at or below the value; 0 for groups that are not split."""
-    if splits is None:
-        return df.withColumn(BUCKET, F.lit(0))
-    place = ordinal(df, value)
-    below = F.size(F.filter("_splits", lambda s: s <= place))
-    if keys:
-        joined = df.join(F.broadcast(splits), keys, "left")
-    else:
-        points = splits.first()["_splits"]
-        joined = df.withColumn("_splits", F.array(*[F.lit(p) for p in points]))
-    return joined.withColumn(BUCKET, F.coalesce(F.when(F.col("_splits").isNotNull(), below), F.lit(0))).drop("_splits")
+def _place(splits: Column, value: Column) -> Column:
+    """How many of the ascending split points are at or below value, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(splits), F.lit(0)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_, below = s["lo"] < s["hi"], F.get(splits, middle) <= value
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(s["lo"]).cast("int").alias("lo"),
+            F.when(open_ & ~below, middle).otherwise(s["hi"]).cast("int").alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(MOST_BUCKETS.bit_length()))
+    return F.when(F.size(splits) > 0, F.aggregate(steps, start, halve, lambda s: s["lo"])).otherwise(F.lit(0))
+
+
+def with_bucket(levels: DataFrame, keys: list[str], value: str, rows_per_bucket: int) -> DataFrame:
+    """levels, one row per group and value, with the bucket of its value."""
+    splits = split_points(levels.filter(F.col(value).isNotNull()), keys, value, rows_per_bucket)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] or [F.lit(True)]
+    joined = levels.join(splits, same, "left")
+    bucket = F.coalesce(_place(F.col("_splits"), ordinal(levels, value)), F.lit(0)).cast("int")
+    return joined.withColumn(BUCKET, bucket).select(*levels.columns, BUCKET)
 
 
 def running_before(
-    df: DataFrame, keys: list[str], value: str, sums: list[str], rows_per_task: int = ROWS_PER_TASK
+    levels: DataFrame, keys: list[str], value: str, sums: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Adds <name>_before: the sum of each column over smaller values of the same group.
 
     Rows must be unique per group and value (aggregate ties first).
     """
-    splits = split_points(df, keys, value, rows_per_task)
-    if splits is None:
-        smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(smaller), F.lit(0)).alias(f"{c}_before") for c in sums])
-    bucketed = with_bucket(df, keys, value, splits)
+    bucketed = with_bucket(levels, keys, value, rows_per_bucket)
     inside = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = bucketed.select(
-        "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums]
-    )
+    local = bucketed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums])
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*keys, BUCKET)
         .agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
         .select(
-            *keys,
-            BUCKET,
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.col(BUCKET).alias("_of_bucket"),
             *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         )
     )
-    kept = [c for c in df.columns]
-    return local.join(offsets, [*keys, BUCKET]).select(
-        *kept, *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"{c}_before") for c in sums]
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col(BUCKET) == F.col("_of_bucket")]
+    return local.join(offsets, same).select(
+        *levels.columns, *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"{c}_before") for c in sums]
     )
 
 
@@ -105,107 +104,59 @@ def tie_counts(df: DataFrame, keys: list[str], value: str, **sums: Column) -> Da
     )
 
 
-def large_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> bool:
-    """Whether any group holds more rows than one task should sort."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.filter(F.col("n") > rows_per_task).isEmpty()
-
-
 def average_ranks(
-    df: DataFrame,
-    keys: list[str],
-    ranks: dict[str, str],
-    rows_per_task: int = ROWS_PER_TASK,
-    large: bool | None = None,
+    df: DataFrame, keys: list[str], ranks: dict[str, str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Adds the rank of each value column inside its group, ties sharing their mean rank.
 
-    ranks maps value columns to rank columns. Groups that fit a task are ranked by windows
-    over one exchange; larger ones value by value through buckets. large says which holds
-    where the caller knows; otherwise the groups are counted first.
+    ranks maps value columns to rank columns. Each column's distinct values are ranked once.
     """
-    if large is None:
-        large = large_groups(df, keys, rows_per_task)
-    if not large:
-        return df.select(
-            "*",
-            *[
-                (
-                    F.rank().over(Window.partitionBy(*keys).orderBy(value))
-                    + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
-                ).alias(rank)
-                for value, rank in ranks.items()
-            ],
-        )
     out = df
     for value, rank in ranks.items():
-        ranked = running_before(tie_counts(df, keys, value), keys, value, ["ties"], rows_per_task).select(
-            *keys, value, (F.col("ties_before") + (F.col("ties") + 1) / 2).alias(rank)
+        levels = tie_counts(df, keys, value)
+        ranked = running_before(levels, keys, value, ["ties"], rows_per_bucket).select(
+            *[F.col(c).alias(f"_of_{c}") for c in [*keys, value]],
+            (F.col("ties_before") + (F.col("ties") + 1) / 2).alias(rank),
         )
-        out = out.join(ranked, [*keys, value])
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, value]]
+        out = out.join(ranked, same).select(*out.columns, rank)
     return out
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, shares: list[float], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], value: str, shares: list[float], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Count and exact percentiles with linear interpolation per group, as an array column.
-
-    Groups a single buffer can hold use the built-in aggregate. Larger ones are ranked
-    through value buckets, which gives the same numbers.
-    """
+    """Count and exact percentiles with linear interpolation per group, as an array column."""
     if not keys:
         raise ValueError("exact_percentiles needs at least one key column")
-    known = df.filter(F.col(value).isNotNull())
+    levels = tie_counts(df.filter(F.col(value).isNotNull()), keys, value)
+    placed = running_before(levels, keys, value, ["ties"], rows_per_bucket)
+    totals = levels.groupBy(*keys).agg(F.sum("ties").alias("value_count"))
     wanted = F.array(*[F.lit(float(s)) for s in shares])
-    splits = split_points(df, keys, value, rows_per_task)
-    if splits is None:
-        return known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("value_count"), F.percentile(value, wanted).alias("percentiles")
-        )
-    totals = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("value_count"))
-    positions = totals.select(*keys, "value_count", F.posexplode(wanted).alias("_slot", "_share")).select(
-        "*", (F.col("_share") * (F.col("value_count") - 1)).alias("_position")
-    )
-    ranks = positions.select(
-        *keys,
+    positions = totals.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
         "value_count",
-        "_slot",
-        F.explode(
-            F.array(
-                F.struct(F.floor("_position").alias("rank"), (1 - (F.col("_position") - F.floor("_position"))).alias("weight")),
-                F.struct((F.floor("_position") + 1).alias("rank"), (F.col("_position") - F.floor("_position")).alias("weight")),
-            )
-        ).alias("_need"),
-    ).filter("_need.weight > 0")
-    bucketed = with_bucket(known.select(*keys, value), keys, value, splits)
-    order = Window.partitionBy(*keys).orderBy(BUCKET)
-    buckets = (
-        bucketed.groupBy(*keys, BUCKET)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("*", F.sum("_n").over(order).alias("_upto"))
-    )
-    located = ranks.join(buckets, keys).filter(
-        (F.col("_need.rank") < F.col("_upto")) & (F.col("_need.rank") >= F.col("_upto") - F.col("_n"))
-    ).select(
-        *keys, BUCKET, "value_count", "_slot", "_need.weight",
-        (F.col("_need.rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
-    )
-    chosen = bucketed.join(located.select(*keys, BUCKET).distinct(), [*keys, BUCKET], "left_semi")
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(value)
-    values = (
-        chosen.groupBy(*keys, BUCKET, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("*", F.sum("_n").over(inside).alias("_upto"))
-    )
-    picked = located.join(values, [*keys, BUCKET]).filter(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+        F.transform(wanted, lambda s: s * (F.col("value_count") - 1)).alias("_positions"),
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    # A value stands at the ranks ties_before to ties_before + ties - 1; it weighs in a
+    # percentile by how much of [position, position + 1) around its ranks is asked for.
+    first, last = F.col("ties_before"), F.col("ties_before") + F.col("ties") - 1
+
+    def weight(position: Column) -> Column:
+        low = F.floor(position)
+        upper = position - low
+        at_low = F.when((low >= first) & (low <= last), 1 - upper).otherwise(F.lit(0.0))
+        at_high = F.when((low + 1 >= first) & (low + 1 <= last), upper).otherwise(F.lit(0.0))
+        return at_low + at_high
+
+    weighed = placed.join(positions, same).withColumn("_weights", F.transform("_positions", weight))
+    near = weighed.filter(F.exists("_weights", lambda w: w > 0))
+    parts = [F.sum(F.col("_weights")[i] * F.col(value)).alias(f"_p{i}") for i in range(len(shares))]
     return (
-        picked.groupBy(*keys, "value_count", "_slot")
-        .agg(F.sum(F.col(value) * F.col("weight")).alias("_value"))
-        .groupBy(*keys, "value_count")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_value"))), lambda s: s["_value"]).alias("percentiles"))
+        near.groupBy(*keys, "value_count")
+        .agg(*parts)
+        .select(*keys, "value_count", F.array(*[F.col(f"_p{i}") for i in range(len(shares))]).alias("percentiles"))
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite, pearson, ratio
-from tapeweave.functions.ordered import average_ranks
 
 PAIR = ["segment", "transform", "coordinate", "feature"]
 TOLERANCE = 1e-10
@@ -105,8 +104,18 @@ def detrended(pairs: DataFrame) -> DataFrame:
 
 
 def correlations(pairs: DataFrame) -> DataFrame:
-    """Count, Pearson, Spearman and r² of each pair group; NULL below three pairs or for a constant side."""
-    ranked = average_ranks(pairs, PAIR, {"x": "rx", "y": "ry"})
+    """Count, Pearson, Spearman and r² of each pair group; NULL below three pairs or for a constant side.
+
+    A pair group has one row per calendar day at most, so its ranks come from one window.
+    Values that differ by rounding noise alone (below TIE_DIGITS digits) share a rank.
+    """
+
+    def rank(c: str):
+        level = F.round(c, TIE_DIGITS)
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*PAIR, level))
+        return F.rank().over(Window.partitionBy(*PAIR).orderBy(level)) + (ties - 1) / 2
+
+    ranked = pairs.select("*", rank("x").alias("rx"), rank("y").alias("ry"))
     usable = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0)
     level = F.when(usable, pearson("x", "y"))
     return ranked.groupBy(*PAIR).agg(

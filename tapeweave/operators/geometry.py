@@ -77,11 +77,17 @@ VARIANT_SOURCES = ("mean", "endpoint", "pooled")
 def representation_variants(
     states: DataFrame, sizes: tuple[int, ...], train: str = "split = 'train'"
 ) -> tuple[DataFrame, dict[str, Pca]]:
-    """Adds <source>_pca_<k> columns for each state vector; every PCA is fit on train rows only."""
+    """Adds <source>_pca_<k> columns for each state vector; every PCA is fit on train rows only.
+
+    A size beyond a vector's entries is the raw vector itself and has no fit.
+    """
     fitted: dict[str, Pca] = {}
     out = states
+    entries = states.select(*[F.size(f"{source}_state").alias(source) for source in VARIANT_SOURCES]).first()
     for source in VARIANT_SOURCES:
         for k in sizes:
+            if entries is None or k > entries[source]:
+                continue
             name = f"{source}_pca_{k}"
             fitted[name] = fit_pca(states.filter(train), f"{source}_state", k)
             out = apply_pca(out, f"{source}_state", fitted[name], name)

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite, pearson, ratio, ratio_or_zero
-from tapeweave.functions.ordered import ROWS_PER_TASK, average_ranks, running_before
-from tapeweave.session import written
+from tapeweave.functions.ordered import ROWS_PER_BUCKET, average_ranks, running_before
 
 CLIP = 1e-12
 
@@ -53,25 +52,16 @@ def regression_metrics(rows: DataFrame, keys: list[str], extra: tuple[Column, ..
     )
 
 
-def spearman(
-    rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK, large: bool | None = None
-) -> DataFrame:
-    """Correlation of average ranks per key; large keys are ranked in value buckets."""
+def spearman(rows: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Correlation of average ranks per key."""
     pairs = finite_pairs(rows).select(*keys, "actual", "prediction")
-    ranked = average_ranks(
-        pairs, keys, {"actual": "actual_rank", "prediction": "prediction_rank"}, rows_per_task, large
-    )
+    ranked = average_ranks(pairs, keys, {"actual": "actual_rank", "prediction": "prediction_rank"}, rows_per_bucket)
     return ranked.groupBy(*keys).agg(correlation("actual_rank", "prediction_rank").alias("spearman_correlation"))
 
 
 def full_regression_metrics(rows: DataFrame, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
-    """All regression metrics: one pass for the moments, one for the ranks.
-
-    The first pass is written, and its counts tell how the ranks can be taken.
-    """
-    base = written(regression_metrics(rows, keys, extra), "regression-metrics")
-    largest = base.agg(F.max("scored_count").alias("n")).first().n or 0
-    return base.join(spearman(rows, keys, ROWS_PER_TASK, largest > ROWS_PER_TASK), keys)
+    """All regression metrics: one pass for the moments, one for the ranks."""
+    return regression_metrics(rows, keys, extra).join(spearman(rows, keys), keys)
 
 
 def clipped_probability(column: str = "prediction") -> Column:
@@ -86,17 +76,17 @@ def _probability_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def roc_auc(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def roc_auc(rows: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Area under the ROC curve from average ranks; 0.5 where a class is missing."""
     counts = _probability_counts(rows, keys)
-    ranked = running_before(counts, keys, "probability", ["pos", "neg"], rows_per_task)
+    ranked = running_before(counts, keys, "probability", ["pos", "neg"], rows_per_bucket)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     product = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.groupBy(*keys).agg(F.coalesce(ratio(wins, product), F.lit(0.5)).alias("roc_auc"))
 
 
 def average_precision(
-    rows: DataFrame, keys: list[str], tie_break: str, rows_per_task: int = ROWS_PER_TASK
+    rows: DataFrame, keys: list[str], tie_break: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Mean precision at each positive by falling probability, ties in tie_break order."""
     p = finite_pairs(rows).select(
@@ -107,7 +97,7 @@ def average_precision(
     )
     # Rows of one probability are ordered among themselves; probabilities are ranked in buckets.
     level = p.groupBy(*keys, "order").agg(F.count(F.lit(1)).alias("rows"), F.sum("actual").alias("hits"))
-    before = running_before(level, keys, "order", ["rows", "hits"], rows_per_task).select(
+    before = running_before(level, keys, "order", ["rows", "hits"], rows_per_bucket).select(
         *keys, "order", "rows_before", "hits_before"
     )
     within = running_before(
@@ -115,7 +105,7 @@ def average_precision(
         [*keys, "order"],
         "tie",
         ["one", "hit"],
-        rows_per_task,
+        rows_per_bucket,
     )
     placed = within.join(before, [*keys, "order"])
     hits = F.col("hits_before") + F.col("hit_before") + F.col("hit")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import any_of, finite
-from tapeweave.functions.ordered import ROWS_PER_TASK, exact_percentiles
+from tapeweave.functions.ordered import ROWS_PER_BUCKET, exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,11 @@ def fit(
     rows: DataFrame,
     features: list[Feature],
     winsorize: tuple[float, float],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Count, winsor bounds, median and interquartile scale of every feature from one scan."""
     shares = [winsorize[0], 0.25, 0.5, 0.75, winsorize[1]]
-    stats = exact_percentiles(long_values(rows, features), ["feature_name"], "value", shares, rows_per_task)
+    stats = exact_percentiles(long_values(rows, features), ["feature_name"], "value", shares, rows_per_bucket)
     q = [F.element_at("percentiles", i + 1) for i in range(5)]
     spread = q[3] - q[1]
     return stats.select(

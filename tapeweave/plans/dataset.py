@@ -795,9 +795,6 @@ def l14_feature_dropout(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("split").agg(*[F.count_if(f"{n}__valid").alias(n) for n in t.feature_names("macro")])
 
 
-SNAPSHOT_SAMPLES, SNAPSHOT_ASSETS = 1, 4
-
-
 def dense_long(spark: SparkSession, sf: str) -> list[DataFrame]:
     dates, assets = t.date_manifest(spark, sf), t.asset_manifest(spark, sf)
     parts = []
@@ -825,7 +822,7 @@ def snapshot_sql() -> str:
     for group in GROUP_TABLES:
         asset = group == "asset"
         names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(t.feature_names(group)))
-        ids = f"(SELECT asset_id FROM aman WHERE asset_id < {SNAPSHOT_ASSETS})" if asset else "(SELECT NULL::BIGINT AS asset_id)"
+        ids = "(SELECT asset_id FROM aman)" if asset else "(SELECT NULL::BIGINT AS asset_id)"
         on = "AND l.asset_id = a.asset_id" if asset else ""
         parts.append(
             f"SELECT '{group}' AS input_group, d.split, CAST(d.sample_date_idx AS INTEGER) AS sample_date_idx, "
@@ -834,13 +831,16 @@ def snapshot_sql() -> str:
             f"f.feature_index, f.feature_name, round(coalesce(CAST(l.value AS DOUBLE), 0), 6) AS value, "
             f"coalesce(l.feature_valid, false) AS feature_valid, coalesce(l.row_valid, false) AS row_valid, "
             f"m.patch_context, m.patch_target_eligible "
-            f"FROM days d JOIN (SELECT split AS s, min(sample_date_idx) AS i FROM full_reqs GROUP BY 1) o "
-            f"ON d.split = o.s AND d.sample_date_idx = o.i CROSS JOIN {ids} a "
+            f"FROM days d CROSS JOIN {ids} a "
             f"CROSS JOIN (VALUES {names}) f(feature_index, feature_name) "
             f"LEFT JOIN {group}_long l ON l.split = d.split AND l.date_idx = d.date_idx AND l.feature_name = f.feature_name {on} "
             f"JOIN masks m ON m.split = d.split AND m.sample_date_idx = d.sample_date_idx AND m.patch = d.patch"
         )
-    return " UNION ALL ".join(parts)
+    return f"""SELECT input_group, split, sample_date_idx, feature_name, count(*) AS cell_count, count(DISTINCT asset_id) AS asset_count,
+    min(date_idx) AS first_date_idx, max(date_idx) AS last_date_idx, count(*) FILTER (feature_valid) AS feature_valid_count,
+    count(*) FILTER (row_valid) AS row_valid_count, count(*) FILTER (patch_context) AS context_count,
+    count(*) FILTER (patch_target_eligible) AS eligible_count, CAST(sum(CAST(CASE WHEN feature_valid THEN value ELSE 0 END AS DECIMAL(18, 6))) AS DOUBLE) AS valid_sum,
+    sum(position * 100 + patch * 10 + day_in_patch) AS place_sum FROM ({" UNION ALL ".join(parts)}) GROUP BY 1, 2, 3, 4"""
 
 
 for _group in GROUP_TABLES:
@@ -852,11 +852,24 @@ for _group in GROUP_TABLES:
     with_tables(snapshot_sql(), "days", "masks", "aman", *[f"{g}_long" for g in GROUP_TABLES]),
 )
 def l15_sample_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot of every sample and asset, by sample and feature: its cells, masks, values and places."""
     masks = t.patch_masks(spark, sf).select(*samples.SAMPLE, "patch", "patch_context", "patch_target_eligible")
     rows = samples.sample_snapshot(
-        t.requests(spark, sf), dense_long(spark, sf), masks, t.SAMPLES, SNAPSHOT_SAMPLES, SNAPSHOT_ASSETS
+        t.requests(spark, sf), dense_long(spark, sf), masks, t.SAMPLES, sample_limit=0, asset_limit=0
+    )
+    value = F.round(F.col("value").cast("double"), 6)
+    return rows.groupBy("input_group", "split", "sample_date_idx", "feature_name").agg(
+        F.count(F.lit(1)).alias("cell_count"),
+        F.count_distinct("asset_id").alias("asset_count"),
+        F.min("date_idx").alias("first_date_idx"),
+        F.max("date_idx").alias("last_date_idx"),
+        F.count_if("feature_valid").alias("feature_valid_count"),
+        F.count_if("row_valid").alias("row_valid_count"),
+        F.count_if("patch_context").alias("context_count"),
+        F.count_if("patch_target_eligible").alias("eligible_count"),
+        F.sum(F.when(F.col("feature_valid"), value).otherwise(0.0).cast("decimal(18,6)")).cast("double").alias("valid_sum"),
+        F.sum(F.col("position") * 100 + F.col("patch") * 10 + F.col("day_in_patch")).alias("place_sum"),
     )
-    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def histogram_sql(mask: str) -> str:
@@ -888,7 +901,7 @@ def l16_target_histogram(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-VALUE_CAP = 2000
+VALUE_CAP = 200_000
 
 
 def cell_values(spark: SparkSession, sf: str) -> DataFrame:

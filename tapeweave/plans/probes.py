@@ -18,7 +18,7 @@ from tapeweave.plans.sqlbase import fragment, r6, with_tables
 
 MARKET = "MARKET"
 HORIZONS = (5, 21)
-PROBE_DIM = 8
+PROBE_DIM = 16
 TARGETS = sorted(
     f"future_{kind}_{h}d" for kind in ("return", "realized_vol", "max_drawdown", "trend_score") for h in HORIZONS
 )
@@ -29,6 +29,7 @@ BASELINES = [probe_data.baseline_name(c) for c in (*STATE_COLUMNS, *TRAIL_COLUMN
 ]
 Z_COLUMNS = [f"z_{i + 1}" for i in range(PROBE_DIM)]
 WINDOW = "validation_window_name"
+BLOCK_LENGTHS = (5, 21, 63, 126)
 
 
 @t.layer
@@ -649,22 +650,25 @@ SHAPES = [(40, 5), (40, 21), (97, 21)]
 @query(
     "s1_block_starts",
     with_tables(
-        f"""SELECT window_name, CAST(draw AS INTEGER) AS draw, CAST(block AS INTEGER) AS block, CAST(start AS INTEGER) AS start,
+        f"""SELECT window_name, CAST(horizon AS INTEGER) AS horizon, CAST(draw AS INTEGER) AS draw, CAST(block AS INTEGER) AS block, CAST(start AS INTEGER) AS start,
         CAST(least(size, n - block * size) AS INTEGER) AS length FROM (SELECT *, ('0x' || substr(sha256('{boot.SEED}|' || n || '|' || size || '|' || draw
         || '|' || block), 1, 13))::BIGINT % (n - size + 1) AS start FROM (
-          SELECT w.name AS window_name, w.n, least(h.horizon, w.n) AS size, d.draw, b.block FROM
+          SELECT w.name AS window_name, h.horizon, w.n, least(h.horizon, w.n) AS size, d.draw, b.block FROM
           (SELECT validation_window_name AS name, count(*) AS n FROM zdays WHERE split = 'validation' GROUP BY 1) w
-          CROSS JOIN (VALUES (21)) h(horizon) CROSS JOIN range({boot.SAMPLES}) d(draw)
+          CROSS JOIN (VALUES (5), (21), (63), (126)) h(horizon) CROSS JOIN range({boot.SAMPLES}) d(draw)
           JOIN range(1000) b(block) ON b.block * least(h.horizon, w.n) < w.n))""",
         "zdays",
     ),
 )
 def s1_block_starts(spark: SparkSession, sf: str) -> DataFrame:
-    """Block starts of every draw for the validation windows at horizon 21."""
+    """Block starts of every draw for the validation windows at every block length."""
     shapes = rep.z_days(spark, sf).filter("split = 'validation'").groupBy(F.col(WINDOW).alias("window_name")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
-    ).select("*", F.lit(0).alias("segment"), F.lit(21).alias("block_length"))
-    return boot.block_starts(shapes, ["window_name"]).drop("segment")
+    ).select(
+        "*", F.lit(0).alias("segment"), F.explode(F.array(*[F.lit(h) for h in BLOCK_LENGTHS])).alias("horizon")
+    )
+    shapes = shapes.withColumn("block_length", F.col("horizon"))
+    return boot.block_starts(shapes, ["window_name", "horizon"]).drop("segment")
 
 
 @t.layer

@@ -223,7 +223,7 @@ def m4_pca_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m5_representation_variants")
 def m5_representation_variants(spark: SparkSession, sf: str) -> DataFrame:
-    _, fitted = geometry.representation_variants(panel_states(spark, sf), (8, 16))
+    _, fitted = geometry.representation_variants(panel_states(spark, sf), (16, 32, 64))
     return rounded(variance_rows(spark, fitted))
 
 

@@ -649,7 +649,8 @@ def t9_report_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- U: coordinate correlations ---------------------------------------------------------------------------
 
-COORDINATES = [f"z_{i + 1}" for i in range(4)]
+#: Every entry of the vectors.
+COORDINATES = [f"z_{i + 1}" for i in range(64)]
 DATE_COLUMNS = ["xs_dispersion_1d", "breadth_1d", "vix_level", "treasury_10y_level"]
 PANEL_COLUMNS = ["return_5d", "realized_vol_21d"]
 TARGET_COLUMNS = ["future_return_5d", "future_realized_vol_21d"]
@@ -783,15 +784,27 @@ def detrended_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 @query(
     "u6_linear_detrend",
     with_tables(
-        "SELECT segment, transform, coordinate, feature, date, round(x, 6) AS x, round(y, 6) AS y FROM dpairs "
-        "WHERE segment <> 'all'",
+        "SELECT segment, transform, coordinate, feature, count(*) AS row_count, min(date) AS first_date, max(date) AS last_date, "
+        "round(sum(x * x), 6) AS x_square_sum, round(sum(y * y), 6) AS y_square_sum, round(sum(x * y), 6) AS product_sum, "
+        "round(min(x), 6) AS x_min, round(max(y), 6) AS y_max FROM dpairs GROUP BY 1, 2, 3, 4",
         "dpairs",
     ),
 )
 def u6_linear_detrend(spark: SparkSession, sf: str) -> DataFrame:
-    """Detrended pairs of the split and window segments."""
+    """What is left of every pair group of all segments after the trend: its extent and moments."""
     _, flat = detrended_pairs(spark, sf)
-    return rounded(flat.filter("segment != 'all'"))
+    return rounded(
+        flat.groupBy("segment", "transform", "coordinate", "feature").agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.min("date").alias("first_date"),
+            F.max("date").alias("last_date"),
+            F.sum(F.col("x") * F.col("x")).alias("x_square_sum"),
+            F.sum(F.col("y") * F.col("y")).alias("y_square_sum"),
+            F.sum(F.col("x") * F.col("y")).alias("product_sum"),
+            F.min("x").alias("x_min"),
+            F.max("y").alias("y_max"),
+        )
+    )
 
 
 fragment(
@@ -801,10 +814,10 @@ fragment(
       AS pearson_correlation,
     CASE WHEN count(*) >= 3 AND stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END
       AS spearman_correlation FROM (
-      SELECT *, rank() OVER (PARTITION BY segment, transform, coordinate, feature ORDER BY x)
-        + (count(*) OVER (PARTITION BY segment, transform, coordinate, feature, x) - 1) / 2.0 AS rx,
-      rank() OVER (PARTITION BY segment, transform, coordinate, feature ORDER BY y)
-        + (count(*) OVER (PARTITION BY segment, transform, coordinate, feature, y) - 1) / 2.0 AS ry
+      SELECT *, rank() OVER (PARTITION BY segment, transform, coordinate, feature ORDER BY round(x, 9))
+        + (count(*) OVER (PARTITION BY segment, transform, coordinate, feature, round(x, 9)) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY segment, transform, coordinate, feature ORDER BY round(y, 9))
+        + (count(*) OVER (PARTITION BY segment, transform, coordinate, feature, round(y, 9)) - 1) / 2.0 AS ry
       FROM (SELECT * FROM cpairs UNION ALL BY NAME SELECT * FROM dpairs)) GROUP BY 1, 2, 3, 4""",
     "cpairs",
     "dpairs",

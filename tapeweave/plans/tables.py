@@ -13,20 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.operators import crosssec, dims, macro, normalize, panel, samples, splits, targets
-from tapeweave.session import scratch_path
+from tapeweave.session import folder_mark, scratch_path
 from tapeweave.sources import driver_tables as src
 
 SERIES_NAMES = [name for _, _, name, _, _ in src.SERIES]
 
 Builder = Callable[[SparkSession, str], DataFrame]
-_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+_WRITTEN: dict[tuple[str, str, str, str], tuple[str, object]] = {}
 
 
 def layer(build: Builder) -> Builder:
-    """Write the table a builder describes on first use and read it back from then on."""
+    """Write the table a builder describes on first use and read it back from then on.
+
+    A changed file in the source folder makes a new layer.
+    """
 
     def table(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        key = (spark.sparkContext.applicationId, sf, folder_mark(spark, sf), build.__name__)
         if key not in _WRITTEN:
             df = build(spark, sf)
             path = scratch_path(spark, build.__name__)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -26,15 +29,35 @@ def build_session(app: str = "tapeweave", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a session that names none (a local test) gets a temporary folder of its own.
+    Only a session in one process (a local test) may name none; it gets a temporary folder
+    that goes when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not one_process(master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="tapeweave-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def folder_mark(spark: SparkSession, folder: str) -> str:
+    """Changes when a file under folder is added, removed or rewritten."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    marks = []
+    while files.hasNext():
+        status = files.next()
+        marks.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(sorted(marks)).encode()).hexdigest()[:16]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/tapeweave/{label}-{uuid.uuid4().hex}"

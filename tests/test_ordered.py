@@ -22,7 +22,7 @@ def rows(spark):
 def test_percentiles_by_buckets(rows):
     shares = [0.005, 0.25, 0.5, 0.75, 0.995]
     plain = {r.k: r for r in ordered.exact_percentiles(rows, ["k"], "v", shares).collect()}
-    split = {r.k: r for r in ordered.exact_percentiles(rows, ["k"], "v", shares, rows_per_task=200).collect()}
+    split = {r.k: r for r in ordered.exact_percentiles(rows, ["k"], "v", shares, rows_per_bucket=200).collect()}
     frame = rows.toPandas()
     assert plain.keys() == split.keys() == set(frame.k)
     for key, group in frame.groupby("k"):
