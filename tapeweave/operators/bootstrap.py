@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite, ratio
 from tapeweave.functions.vectors import field
-from tapeweave.operators.metrics import correlation
+from tapeweave.operators.metrics import correlation, roc_auc
 from tapeweave.session import spread
 
 SAMPLES = 500
@@ -227,6 +227,20 @@ def point_estimates(aligned: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def classification_estimates(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """Area under the curve and Brier score difference on the rows as they are."""
+    a = F.col("actual")
+
+    def brier(c: str) -> Column:
+        return F.avg((a - F.col(c)) * (a - F.col(c)))
+
+    scores = aligned.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("aligned_row_count"),
+        (brier("prediction") - brier("hand_prediction")).alias("brier_score_difference_vs_hand"),
+    )
+    return scores.join(roc_auc(aligned, keys), keys)
+
+
 def window_segment() -> Column:
     return F.lit(0)
 

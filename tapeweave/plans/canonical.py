@@ -879,7 +879,8 @@ def h6_out_of_range_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "h7_validation_suite",
     with_tables(
-        """SELECT 'bad_ohlc' AS check_name, 0 AS offending_rows UNION ALL
+        """SELECT 'bad_ohlc' AS check_name, count(*) AS offending_rows FROM bars
+        WHERE high < greatest(open, close, low) OR low > least(open, close, high) OR close <= 0 UNION ALL
         SELECT 'duplicate_line_keys', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
         UNION ALL SELECT 'duplicate_price_rows', count(*) FROM (SELECT 1 FROM bars GROUP BY date, symbol HAVING count(*) > 1)
         UNION ALL SELECT 'late_macro_rows', count(*) FROM macro_avail WHERE asof_date > date OR revised_data_flag""",

@@ -631,6 +631,20 @@ def l7_fixed_view(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_view(spark, sf)
 
 
+@query(
+    "l7_short_views",
+    with_tables(
+        f"SELECT split, CAST(sample_date_idx AS INTEGER) AS sample_date_idx, n_endpoint_valid_assets, {FIXED_K} AS view_size "
+        f"FROM full_reqs WHERE n_endpoint_valid_assets < {FIXED_K}",
+        "full_reqs",
+    ),
+)
+def l7_short_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples that cannot fill a view of FIXED_K assets; samples.require_view_size raises for them."""
+    rows = t.requests(spark, sf).filter(F.col("n_endpoint_valid_assets") < FIXED_K)
+    return rows.select("split", "sample_date_idx", "n_endpoint_valid_assets", F.lit(FIXED_K).alias("view_size"))
+
+
 @query("l8_random_view", with_tables(VIEW_SQL + "random_view", "random_view"))
 def l8_random_view(spark: SparkSession, sf: str) -> DataFrame:
     return samples.random_view(t.requests(spark, sf), t.asset_facts(spark, sf), RANDOM_K, SEED, EPOCH)

@@ -694,22 +694,43 @@ def s2_window_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s3_aligned_pairs")
 def s3_aligned_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(boot.point_estimates(aligned(spark, sf), PER_WINDOW))
+    """Point estimates of each task's metrics by window."""
+    parts = [
+        estimates(spark, sf, task).unpivot([*PER_WINDOW, "aligned_row_count"], metrics, "metric", "value")
+        for task, metrics in (
+            ("regression", boot.REGRESSION_METRICS),
+            ("classification", boot.CLASSIFICATION_METRICS),
+        )
+    ]
+    return rounded(parts[0].unionByName(parts[1]))
+
 
+def estimates(spark: SparkSession, sf: str, task: str) -> DataFrame:
+    measure = boot.point_estimates if task == "regression" else boot.classification_estimates
+    return measure(aligned(spark, sf).filter(F.col("task_type") == task), PER_WINDOW)
 
-def pooled_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = aligned(spark, sf).filter("task_type = 'regression'")
-    draws = boot.regression_draws(rows, COMBINATION, boot.pooled_segment(COMBINATION), boot.SAMPLES, boot.SEED)
-    return boot.intervals(draws, COMBINATION, boot.REGRESSION_METRICS)
+
+def pooled_intervals(spark: SparkSession, sf: str, task: str = "regression") -> DataFrame:
+    rows = aligned(spark, sf).filter(F.col("task_type") == task)
+    regression = task == "regression"
+    draw = boot.regression_draws if regression else boot.classification_draws
+    draws = draw(rows, COMBINATION, boot.pooled_segment(COMBINATION), boot.SAMPLES, boot.SEED)
+    return boot.intervals(
+        draws, COMBINATION, boot.REGRESSION_METRICS if regression else boot.CLASSIFICATION_METRICS
+    )
 
 
 @query("s4_window_stability")
 def s4_window_stability(spark: SparkSession, sf: str) -> DataFrame:
-    estimates = boot.point_estimates(aligned(spark, sf).filter("task_type = 'regression'"), PER_WINDOW)
-    pooled = pooled_intervals(spark, sf).filter("metric = 'rmse_difference_vs_hand'").drop("metric")
-    return rounded(
-        boot.stability(estimates, COMBINATION, "rmse_difference_vs_hand").join(pooled, COMBINATION)
-    )
+    """How each combination does across windows, with its pooled interval, for both tasks."""
+    parts = []
+    for task, metric in (
+        ("regression", "rmse_difference_vs_hand"),
+        ("classification", "brier_score_difference_vs_hand"),
+    ):
+        pooled = pooled_intervals(spark, sf, task).filter(F.col("metric") == metric)
+        parts.append(boot.stability(estimates(spark, sf, task), COMBINATION, metric).join(pooled, COMBINATION))
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 EXPECTED_WINDOWS = len(rep.Z_WINDOWS)
