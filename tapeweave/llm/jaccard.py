@@ -317,6 +317,14 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int
     return found.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(u, v) that link. Only sets of classes in a pair are made again."""
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = written(full_sets(docs, classes, wanted, width), "full-sets")
+    return written(verified(pairs, sets, percent), "linked-pairs")
+
+
 def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs(doc_id, text): row_key, doc_id, n_shingles, group (null: no shingles), component_id."""
     spark = docs.sparkSession
@@ -333,9 +341,8 @@ def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     posted = written(shared_keys(docs, sketch, boundary, width, percent), "shared-keys")
     lists = posted.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("key", "node", "n", "place")
     lists = written(lists, "lists")
-    sets = written(full_sets(docs, classes, lists.select("node").distinct(), width), "full-sets")
-    links = written(verified(hub_pairs(lists, percent), sets, percent), "hub-links")
-    more = verified(crossing_pairs(lists, components(links), percent), sets, percent)
+    links = linked_pairs(docs, classes, hub_pairs(lists, percent), width, percent)
+    more = linked_pairs(docs, classes, crossing_pairs(lists, components(links), percent), width, percent)
     found = components(links.unionByName(more))
 
     named = classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
