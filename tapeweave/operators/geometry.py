@@ -166,6 +166,9 @@ def with_distances(stats: DataFrame) -> DataFrame:
 # --- pairwise cosines ---------------------------------------------------------------------
 
 BLOCK_ROWS = 256
+#: Precondition of all-pairs order statistics: a group (a validation window, a history block,
+#: a calendar) has no more rows. Means and spreads have a closed form for any size.
+MOST_PAIRED_ROWS = 50_000
 BINS = 4096
 
 
@@ -191,9 +194,12 @@ def block_pairs(rows: DataFrame, keys: list[str], row_id: str, vector: str) -> D
     """Pairs of row blocks of each key: the unit of work for all-pairs statistics.
 
     Blocks hold about BLOCK_ROWS rows each, so no task sees a whole group, and pairs of
-    rows exist only inside a block product.
+    rows exist only inside a block product. A group above MOST_PAIRED_ROWS is an error.
     """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("block_count"))
+    n = F.count(F.lit(1))
+    too_many = F.raise_error(F.lit(f"all-pairs statistics of a group above {MOST_PAIRED_ROWS} rows")).cast("int")
+    blocks = F.when(n > MOST_PAIRED_ROWS, too_many).otherwise(F.ceil(n / BLOCK_ROWS).cast("int"))
+    sizes = rows.groupBy(*keys).agg(blocks.alias("block_count"))
     placed = rows.join(sizes, keys).select(
         *keys,
         "block_count",

@@ -746,6 +746,29 @@ def l12_target_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return masked_samples(spark, sf).select(*samples.SAMPLE, bits("target"), bits("visible"), bits("eligible"))
 
 
+@query(
+    "l12_target_rules",
+    with_tables(
+        f"""SELECT split, CAST(sample_date_idx AS INTEGER) AS sample_date_idx, true AS inside_eligible, true AS count_in_bounds,
+        true AS visible_is_rest_of_context, true AS context_left FROM masks GROUP BY 1, 2
+        HAVING count(*) FILTER (patch_target_eligible) >= {MIN_MASKED} AND count(*) FILTER (patch_context) > {MIN_MASKED}""",
+        "masks",
+    ),
+)
+def l12_target_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What every draw must keep, whatever its random numbers."""
+    drawn = F.size(F.filter("target", lambda m: m))
+    outside = F.exists(F.zip_with("target", "eligible", lambda a, b: a & ~b), lambda m: m)
+    rest = F.zip_with("context", "target", lambda a, b: a & ~b)
+    return masked_samples(spark, sf).select(
+        *samples.SAMPLE,
+        (~outside).alias("inside_eligible"),
+        drawn.between(MIN_MASKED, t.SAMPLES.max_masked).alias("count_in_bounds"),
+        (F.col("visible") == rest).alias("visible_is_rest_of_context"),
+        F.exists("visible", lambda m: m).alias("context_left"),
+    )
+
+
 @query("l13_padded_target_ids")
 def l13_padded_target_ids(spark: SparkSession, sf: str) -> DataFrame:
     padded = samples.padded_ids(masked_samples(spark, sf))

@@ -214,6 +214,28 @@ def m3_pca_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(variance_rows(spark, {"embeddings": geometry.fit_pca(src.vectors(spark, sf), "vector", PCA_SIZE)}))
 
 
+@query(
+    "m3_total_variance",
+    with_tables(
+        "SELECT count(*) AS component_count, round(sum(x), 6) AS total_variance, 1.0 AS total_ratio "
+        "FROM (SELECT var_samp(v) AS x FROM zlong GROUP BY i)",
+        "zlong",
+    ),
+)
+def m3_total_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """All components together keep the variance of the vectors."""
+    rows = src.vectors(spark, sf)
+    entries = rows.select(F.size("vector")).first()[0]
+    kept = variance_rows(spark, {"embeddings": geometry.fit_pca(rows, "vector", entries)})
+    return rounded(
+        kept.agg(
+            F.count(F.lit(1)).alias("component_count"),
+            F.sum("explained_variance").alias("total_variance"),
+            F.sum("explained_variance_ratio").alias("total_ratio"),
+        )
+    )
+
+
 @query("m4_pca_apply")
 def m4_pca_apply(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.vectors(spark, sf)
@@ -351,6 +373,30 @@ def m9_rank_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.rank_metrics(z_days(spark, sf), ["split"], "pos", "vector"))
 
 
+@query(
+    "m9_mean_metrics",
+    with_tables(
+        f"""SELECT n.split, n.sample_count, round(p.mean_c, 6) AS mean_pairwise_cosine, round(p.median_c, 6) AS median_pairwise_cosine,
+        round(n.mean_norm, 6) AS mean_vector_norm FROM (SELECT split, count(*) AS sample_count, avg(s) AS mean_norm FROM
+          (SELECT split, pos, sqrt(sum(v * v)) AS s FROM zday_long GROUP BY 1, 2) GROUP BY 1) n
+        JOIN (SELECT split, avg(c) AS mean_c, quantile_cont(c, 0.5) AS median_c FROM ({PAIR_SQL}) GROUP BY 1) p ON n.split = p.split""",
+        "zday_long",
+    ),
+)
+def m9_mean_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The rank metrics that need no eigenvalues."""
+    rows = geometry.rank_metrics(z_days(spark, sf), ["split"], "pos", "vector")
+    return rounded(
+        rows.select(
+            "split",
+            F.col("sample_count").cast("bigint").alias("sample_count"),
+            "mean_pairwise_cosine",
+            "median_pairwise_cosine",
+            "mean_vector_norm",
+        )
+    )
+
+
 COMPARED = [*geometry.RANK_METRICS, "median_pairwise_cosine"]
 
 
