@@ -251,3 +251,29 @@ def test_result_labels(spark, task, values, want):
     )
     label = report.result_label(task, windows, improved, primary, worst, stable, invalid, supported)
     assert spark.range(1).select(label.alias("l")).first().l == want
+
+
+def test_classification_point_estimates(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame(
+        {
+            "k": rng.choice(["a", "b"], 400),
+            "actual": (rng.random(400) < 0.4).astype(float),
+            "prediction": np.round(rng.random(400), 2),
+            "hand_prediction": rng.random(400),
+        }
+    )
+    got = {r.k: r for r in boot.classification_estimates(spark.createDataFrame(frame), ["k"]).collect()}
+    for key, g in frame.groupby("k"):
+        pos, neg = g[g.actual == 1].prediction.to_numpy(), g[g.actual == 0].prediction.to_numpy()
+        wins = (pos[:, None] > neg[None]).mean() + (pos[:, None] == neg[None]).mean() / 2
+        brier = ((g.actual - g.prediction) ** 2).mean() - ((g.actual - g.hand_prediction) ** 2).mean()
+        assert got[key].aligned_row_count == len(g)
+        assert got[key].roc_auc == pytest.approx(wins) and got[key].brier_score_difference_vs_hand == pytest.approx(brier)
+
+
+def test_all_pairs_statistics_refuse_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "MOST_PAIRED_ROWS", 10)
+    rows = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(11)], "k int, id int, v array<double>")
+    with pytest.raises(Exception, match="all-pairs statistics"):
+        geometry.pairwise_order_stats(rows, ["k"], "id", "v")
