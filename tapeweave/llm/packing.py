@@ -29,8 +29,8 @@ WIDTH = 8
 BUCKETS = 256
 #: Ends the search for better patterns; what is found by then is still a whole packing.
 MOST_PATTERNS = 4000
-#: Entries that a Python worker remembers.
-REMEMBERED = 400_000
+#: Words, and pieces of words, that a Python worker remembers: about 200 bytes each.
+REMEMBERED = 800_000
 END_ID = np.array([1], dtype="<u4").tobytes()
 
 
@@ -83,7 +83,16 @@ class WordTokens(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.piece, self.cut(word.lower()))) if _PLAIN.fullmatch(word) else self.encode(word)
+        if not _PLAIN.fullmatch(word):
+            ids = self.encode(word)
+        else:
+            lowered = word.lower()
+            if lowered.isalpha():
+                ids = self.piece(lowered)
+            elif lowered[-1] in ".,;:!?" and lowered[:-1].isalpha():
+                ids = self.piece(lowered[:-1]) + self.piece(lowered[-1])
+            else:
+                ids = b"".join(map(self.piece, self.cut(lowered)))
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = ids
