@@ -33,6 +33,9 @@ from tapeweave.session import written
 SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 18
+#: Bits of a set's parity map: bit k says whether an odd number of shingles falls on k. Two maps
+#: differ in no more bits than their sets in shingles, so most pairs end before sets are read.
+PARITY_BITS = 1024
 #: Sizes up to which subsets may be enumerated; the boundary is chosen within.
 MOST_SMALL = 24
 #: Ids of so many classes may be broadcast (8 bytes each); beyond, they are joined.
@@ -87,23 +90,30 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def parity_map(shingles: np.ndarray) -> list[int]:
+    at = (shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Rows (row_key, doc_id, n, k1, k2) of all documents, and rows (bucket, count) of the sketch."""
+    """Rows (row_key, doc_id, n, k1, k2, parity) of all documents, and rows (bucket, count) of the sketch."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
         for batch in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, parity = [], [], [], []
             for _, part in chunks(batch["text"].tolist()):
                 for shingles in shingle_sets(part, width):
                     key = set_key(shingles)
                     n.append(len(shingles))
                     k1.append(key[0])
                     k2.append(key[1])
+                    parity.append(parity_map(shingles))
                     if key not in seen:  # copies within a task count once
                         seen.add(key)
                         counters += np.bincount(_bucket(shingles), minlength=len(counters)) if len(shingles) > 4096 else 0
@@ -116,6 +126,7 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                     "n": n,
                     "k1": k1,
                     "k2": k2,
+                    "parity": parity,
                     "bucket": pd.Series([None] * len(n), dtype="Int64"),
                     "count": pd.Series([None] * len(n), dtype="Int64"),
                 }
@@ -129,6 +140,7 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 "n": nothing,
                 "k1": nothing,
                 "k2": nothing,
+                "parity": pd.Series([None] * len(at), dtype=object),
                 "bucket": at,
                 "count": counters[at],
             }
@@ -136,7 +148,8 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     narrow = docs.select(document_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInPandas(
-        describe, "row_key string, doc_id long, n long, k1 long, k2 long, bucket long, count long"
+        describe,
+        "row_key string, doc_id long, n long, k1 long, k2 long, parity array<long>, bucket long, count long",
     )
 
 
@@ -279,6 +292,17 @@ def crossing_pairs(lists: DataFrame, found: DataFrame, percent: int = PERCENT) -
     return _pairs(joined.filter(crossing & once & _linkable("a", "b", percent)))
 
 
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose parity maps allow as few different shingles as a link has."""
+    u = classes.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("parity_u"))
+    v = classes.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("parity_v"))
+    both = pairs.join(u, "u").join(v, "v")
+    bits = F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
+    allowed = F.col("n_u") + F.col("n_v") - 2 * need_column(F.col("n_u"), F.col("n_v"), percent)
+    return both.filter(differ <= allowed).select("u", "v")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets link."""
 
@@ -293,17 +317,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v")), "v")
     both = with_v.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), "u")
-    return both.select("u", "v", "set_u", "set_v").mapInPandas(check, "u long, v long")
+    return both.select("u", "v", "set_u", "set_v").mapInPandas(check, "u long, v long").distinct()
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(node, shingles as bytes) of the wanted(node) classes, from one document of each."""
+    """(node, shingles as bytes) of the wanted(node) classes, at least once each.
+
+    Rows that repeat a doc_id and text give one set a task.
+    """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
             done = [s for _, part in chunks(batch["text"].tolist()) for s in shingle_sets(part, width)]
             keys = [set_key(s) for s in done]
-            right = [k == (a, b) for k, a, b in zip(keys, batch["k1"], batch["k2"], strict=True)]
+            right = []
+            for key, a, b, node in zip(keys, batch["k1"], batch["k2"], batch["node"].tolist(), strict=True):
+                right.append(key == (a, b) and node not in seen)
+                if right[-1]:
+                    seen.add(node)
             frame = pd.DataFrame({"node": batch["node"], "shingles": [s.astype("<u8").tobytes() for s in done]})
             yield frame[right]
 
@@ -313,13 +345,12 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("class_doc"))).select("node", "k1", "k2", "text")
-    # Of rows that repeat a doc_id and text, any one.
-    return found.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"])
+    return found.mapInPandas(sets, "node long, shingles binary")
 
 
 def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(u, v) that link. Only sets of classes in a pair are made again."""
-    pairs = written(pairs, "pairs")
+    """The pairs(u, v) that link. Only sets of classes in a near enough pair are made again."""
+    pairs = written(near_enough(pairs, classes, percent), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = written(full_sets(docs, classes, wanted, width), "full-sets")
     return written(verified(pairs, sets, percent), "linked-pairs")
@@ -329,11 +360,13 @@ def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     """Per row of docs(doc_id, text): row_key, doc_id, n_shingles, group (null: no shingles), component_id."""
     spark = docs.sparkSession
     told = written(described(docs, width), "shingle-sets")
-    rows = told.filter("bucket IS NULL").select("row_key", "doc_id", "n", "k1", "k2")
+    rows = told.filter("bucket IS NULL").select("row_key", "doc_id", "n", "k1", "k2", "parity")
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     counters = told.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
     sketch[counters["bucket"].to_numpy(dtype=np.int64)] = counters["count"]
-    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("parity").alias("parity")
+    )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
