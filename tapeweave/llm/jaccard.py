@@ -241,8 +241,15 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, boundary: int, width: int =
 
     posted = docs.select("text").mapInPandas(post, "key long, k1 long, k2 long, n int, place int")
     of_key = Window.partitionBy("key")
+    # Of a pair, the smaller set has the key within the prefix that sets of its own size need;
+    # a member beyond that place has use only for a smaller one within it.
+    n, place = F.col("n"), F.col("place")
+    within = (place < 0) | (n - place >= need_column(n, n, percent))
+    smallest = F.min(F.when(within, n)).over(of_key)
+    useful = smallest.isNotNull() & (within | (smallest <= n))
     several = (F.min("k1").over(of_key) != F.max("k1").over(of_key)) | (F.min("k2").over(of_key) != F.max("k2").over(of_key))
-    return posted.withColumn("several", several).filter("several").drop("several").distinct()
+    of_use = posted.withColumn("useful", useful).filter("useful").drop("useful")
+    return of_use.withColumn("several", several).filter("several").drop("several").distinct()
 
 
 # ---- links --------------------------------------------------------------------------------
