@@ -120,5 +120,6 @@ def test_ftrl_is_sparse_and_learns():
             model.fit(at, np.ones(len(at)), float(7 in at))
         weights = model.all_weights()[:, 0]
         used.append((weights[:-1] != 0).sum())
-        assert probability(weights[7] + weights[-1]) > 0.8 > 0.2 > probability(weights[-1])
+        # A strong penalty also shrinks the weight that stays.
+        assert probability(weights[7] + weights[-1]) > 0.7 > 0.2 > probability(weights[-1])
     assert used[1] < 10 < used[0]
