@@ -213,16 +213,11 @@ def deleted_lines(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, deleted: list[int] | None) -> str:
-    """The article's lines if the page marks one, else all lines of no other named part, less the deleted."""
-    lines = lines_of(page)
-    if any(part == ARTICLE for part, _ in lines):
-        return " ".join(t for part, t in lines if part == ARTICLE)
+    """All lines of no named part, less the deleted; lines of <article> and <main> are never deleted."""
     left = list(deleted)[::-1] if deleted is not None else []
     out = []
-    for part, t in lines:
-        if part != NEUTRAL:
-            continue
-        if left and xxhash.xxh3_64_intdigest(t) - (1 << 63) == left[-1]:
+    for part, t in lines_of(page):
+        if part == NEUTRAL and left and xxhash.xxh3_64_intdigest(t) - (1 << 63) == left[-1]:
             left.pop()
         else:
             out.append(t)

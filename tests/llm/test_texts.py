@@ -125,6 +125,18 @@ def test_template_lines_go_by_differencing(spark):
     assert found[5] == found[6] == "kept"
 
 
+def test_differencing_decides_outside_landmarks(spark):
+    """A teaser in <article> does not stand for the page: other lines go only if a neighbour has them."""
+
+    def page(own, teaser):
+        return f"<body><div>Site name</div><article><p>{teaser}</p></article><div>{own}</div><div>More of it</div><div>End of site</div></body>"
+
+    pages = [(1, "http://t.example/a", page("Body of the first", "One teaser")), (2, "http://t.example/b", page("Body of the second", "Two teaser"))]
+    out = htmltext.extracted(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    found = {r.page_id: r.text for r in out.collect()}
+    assert found == {1: "One teaser Body of the first", 2: "Two teaser Body of the second"}
+
+
 def test_named_parts_are_left_out():
     page = """<header>Top</header><nav>Menu</nav><div class="cookie-notice">Cookies</div><main><h1>Title</h1>
     <p>One<br>two <i>three</i>four</p><aside>Side</aside><form>Form</form><div id=comments><p>Reader says</p></div>
