@@ -137,6 +137,47 @@ def test_differencing_decides_outside_landmarks(spark):
     assert found == {1: "One teaser Body of the first", 2: "Two teaser Body of the second"}
 
 
+def test_names_do_not_remove_what_holds_the_article():
+    for page in (
+        '<main class="content has-sidebar"><p>body</p></main>',
+        '<article class="post no-comments"><p>body</p></article>',
+        '<div id="page" class="site with-sidebar"><main><p>body</p></main></div>',
+        '<div class="widget"><article><p>body</p></article></div>',
+        '<form id="all"><div class="menu">m</div><main><p>body</p></main></form>',
+        '<main class="menu"><p>body</p><div id="comments"><article>reply</article></div></main>',
+        '<div class="no-sidebar"><p>body</p></div><div class="primary-nav">menu</div>',
+    ):
+        assert htmltext.main_text(page, None) == "body", page
+
+
+def test_copies_keep_their_text(spark):
+    """Copies and near copies at neighbouring URLs lose the template that other pages share, not the article."""
+
+    def page(*own):
+        return f"<div>Site name</div>{''.join(f'<p>{x}</p>' for x in own)}<div>End of site</div>"
+
+    body = [f"line {k} of a long article" for k in range(12)]
+    near = body[:4] + ["an edited line"] + body[5:]
+    pages = [
+        (1, "http://h.example/a/1", page(*body)),
+        (2, "http://h.example/a/2", page(*body)),
+        (3, "http://h.example/a/3", page(*near)),
+        (4, "http://h.example/a/4", page(*near[:-1], "an edited end")),
+        (5, "http://h.example/b", page("something else", "of its own")),
+        (6, "http://copies.example/1", page(*body)),
+        (7, "http://copies.example/2", page(*body)),
+        (8, "http://near.example/1", page(*body)),
+        (9, "http://near.example/2", page(*near)),
+    ]
+    out = htmltext.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    found = {r.page_id: r.text for r in out.collect()}
+    assert found[1] == found[2] == " ".join(body)
+    assert found[3] == " ".join(near) and found[4] == " ".join(near[:-1]) + " an edited end"
+    assert found[5] == "something else of its own"
+    assert found[6] == found[7] == found[8] == f"Site name {' '.join(body)} End of site"
+    assert found[9] == f"Site name {' '.join(near)} End of site"
+
+
 def test_named_parts_are_left_out():
     page = """<header>Top</header><nav>Menu</nav><div class="cookie-notice">Cookies</div><main><h1>Title</h1>
     <p>One<br>two <i>three</i>four</p><aside>Side</aside><form>Form</form><div id=comments><p>Reader says</p></div>
