@@ -1,11 +1,13 @@
 """License scan: exact containment join of text blocks with license templates.
 
-A block is a line of a text, a set of words. A template matches a block that holds at least
-CONTAINMENT of the template's distinct words. Words are ordered by how many blocks of the
-whole corpus hold them, rarest first; a match needs one of the template's first n - o + 1
-words (n: its words, o: the overlap asked for), at least o words in the block, and enough
-words behind the first common one on both sides. The overlap of what passes these prefix,
-length and positional filters is counted exactly.
+A block is a set of words: a line of a text, or, for notices wrapped over lines, words in a row
+that cross line breaks, as many as the template has (whole lines would mix notices that stand
+below each other). A line without words, be it of comment signs, ends what is joined. A template
+matches a block that holds at least CONTAINMENT of the template's distinct words. Words are
+ordered by how many blocks of the whole corpus hold them, rarest first; a match needs one of the
+template's first n - o + 1 words (n: its words, o: the overlap asked for), at least o words in
+the block, and enough words behind the first common one on both sides. The overlap of what
+passes these prefix, length and positional filters is counted exactly.
 
 Only words of templates leave the scan, so what is joined is narrow. Beside it stands the
 plain search for phrases. No Python runs on the executors.
@@ -22,6 +24,8 @@ from tapeweave.llm.common import table, whole_text
 from tapeweave.session import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same without the line break.
+SPACES = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.85
 
 # Phrases of the contract with their labels.
@@ -72,8 +76,49 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) > 0, F.filter(at, lambda i: F.coalesce(stands(i), F.lit(False))))
 
 
-def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Per row: doc_id, n_words, the phrases' places and labels, and each line's template words."""
+def _windows(templates: list[tuple[str, str]], containment: float) -> list[tuple[list[str], int, int]]:
+    """Per template its distinct words, the overlap asked for, and how many words it has in a row."""
+    sets = template_sets(templates)
+    return [
+        (words, least_overlap(len(words), containment), len(text.split()))
+        for (_, text), (_, words) in zip(templates, sets, strict=True)
+    ]
+
+
+def _wrapped_blocks(text: Column, windows: list[tuple[list[str], int, int]]) -> Column:
+    """Template words of the words in a row that cross a line break and hold enough of the template."""
+    reach = max((width for _, _, width in windows), default=1)
+
+    def around(tokens: Column) -> Column:
+        breaks = F.array_compact(F.transform(tokens, lambda token, i: F.when(token == "\n", i)))
+
+        def blocks(i: Column) -> Column:
+            # A line of a paragraph has a word at least, so reach words lie within twice as many tokens.
+            before = F.slice(tokens, F.greatest(i - 2 * reach, F.lit(0)) + 1, F.least(i, F.lit(2 * reach)))
+            after = F.slice(tokens, i + 2, F.lit(2 * reach))
+            before, after = (F.slice(F.array_remove(x, "\n"), 1, reach) for x in (F.reverse(before), after))
+            run, edge = F.concat(F.reverse(before), after), F.size(before)
+
+            def held(words: list[str], least: int, width: int) -> Column:
+                known = F.array(*[F.lit(w) for w in words])
+                starts = F.sequence(F.greatest(edge - width + 1, F.lit(0)), F.greatest(edge - 1, F.lit(0)))
+                inside = F.transform(starts, lambda at: F.array_intersect(F.slice(run, at + 1, width), known))
+                enough = F.array_distinct(F.filter(inside, lambda found: F.size(found) >= least))
+                return F.when(F.size(F.array_intersect(run, known)) >= least, enough)
+
+            return F.flatten(F.array_compact(F.array(*[held(*window) for window in windows])))
+
+        return F.flatten(F.transform(breaks, blocks))
+
+    paragraphs = F.split(text, r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n")
+    tokens = F.transform(paragraphs, lambda p: F.array_remove(F.split(F.replace(p, F.lit("\n"), F.lit(" \n ")), SPACES), ""))
+    return F.flatten(F.transform(F.filter(tokens, lambda t: F.array_contains(t, "\n")), around))
+
+
+def scanned(
+    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT
+) -> DataFrame:
+    """Per row: doc_id, n_words, the phrases' places and labels, and each block's template words."""
     known = F.array(*[F.lit(w) for w in sorted({w for _, words in template_sets(templates) for w in words})])
     # Letters beyond A-Z that lower() also changes are in no phrase and no template.
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(whole_text()).alias("text"))
@@ -85,14 +130,21 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Da
         F.filter(
             F.transform(F.split("text", "\n"), lambda line: F.array_intersect(F.split(line, SEPARATORS), known)),
             lambda found: F.size(found) > 0,
-        ).alias("blocks"),
+        ).alias("lines"),
+        "text",
     )
+    # Few texts hold the words of a template at all; only in those are lines joined.
+    windows = _windows(templates, containment)
+    present = F.array_distinct(F.flatten("lines"))
+    enough = [F.size(F.array_intersect(present, F.array(*[F.lit(w) for w in own]))) >= least for own, least, _ in windows]
+    may_wrap = reduce(lambda a, b: a | b, enough, F.lit(False)) & F.contains(F.col("text"), F.lit("\n"))
+    wrapped = F.when(may_wrap, _wrapped_blocks(F.col("text"), windows)).otherwise(F.array().cast("array<array<string>>"))
     empty = F.array().cast("array<int>")
     named = [(f"places_{k}", phrase, label) for k, (phrase, label) in enumerate(PHRASES.items())]
     placed = words.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        "blocks",
+        F.concat("lines", wrapped).alias("blocks"),
         *[
             F.when(F.col("may_hold"), F.coalesce(_places(F.col("words"), phrase), empty)).otherwise(empty).alias(name)
             for name, phrase, _ in named
@@ -188,7 +240,7 @@ def license_scan(
     stands, else the largest contained share of a matching template, else 0. Repeated rows
     give repeated results; an empty table gives an empty one. Other columns are left out.
     """
-    scan = written(scanned(docs, templates), "license-scan")
+    scan = written(scanned(docs, templates, containment), "license-scan")
     blocks = scan.select("row_id", F.posexplode("blocks").alias("block", "words"))
     found = (
         matched_blocks(blocks, templates, containment)

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import textwrap
 
 import numpy as np
 
@@ -238,6 +239,23 @@ def test_license_scan_matches_brute_force(spark, corpus):
     assert sum(r.labels != "" for r in rows.values()) > 60
 
 
+def test_wrapped_notices_are_found(spark):
+    """Every template is met when it is wrapped, as plain lines and as a comment; a blank line ends a notice."""
+    docs, wanted = [], {}
+    for k, (label, template) in enumerate(licenses.TEMPLATES):
+        for j, (width, sign, ending) in enumerate([(30, "", "\n"), (45, " * ", "\n"), (70, "# ", "\r\n"), (30, "", "\n\n")]):
+            lines = [sign + line for line in textwrap.wrap("Copyright by someone. " + template.title() + " or so", width)]
+            docs.append((10 * k + j, ending.join(["/*", *lines, "*/"])))
+            if j < 3:
+                wanted[10 * k + j] = label
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.license_scan(frame).collect()}
+    for doc_id, label in wanted.items():
+        assert label in rows[doc_id].labels.split(",") and rows[doc_id].score >= 0.85, docs
+    long = [k for k, (_, template) in enumerate(licenses.TEMPLATES) if len(template.split()) > 15]
+    assert all(rows[10 * k + 3].labels == "" for k in long if "gnu" not in licenses.TEMPLATES[k][1])
+
+
 def test_hashed_words_are_words():
     texts = ["Ab  cd\tab", "", "x", "ab cd", "é ab"]
     words = Words(*code_points(texts), "unspaced")
