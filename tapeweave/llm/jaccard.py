@@ -32,6 +32,9 @@ from tapeweave.session import written
 
 SHINGLE = 4
 PERCENT = 85
+#: The pipeline's stage: words a shingle and least similarity in percent.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
 SKETCH_BITS = 18
 #: Bits of a set's parity map: bit k says whether an odd number of shingles falls on k. Two maps
 #: differ in no more bits than their sets in shingles, so most pairs end before sets are read.
@@ -408,8 +411,11 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id (null last), with the columns of docs."""
-    rows = grouped(docs).select(
+    """Pipeline stage: of each component the row with the smallest doc_id (null last), with the columns of docs.
+
+    Its shingles and threshold are the stage's (STAGE_SHINGLE, STAGE_PERCENT), not those of op9.
+    """
+    rows = grouped(docs, STAGE_SHINGLE, STAGE_PERCENT).select(
         "row_key", F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce(F.col("group").cast("string"), "row_key").alias("group")
     )
     kept = rows.groupBy("group").agg(F.min(F.struct("no_id", "doc_id", "row_key")).alias("least"))

@@ -124,3 +124,13 @@ def test_boundary_and_overlap():
             assert jaccard.fits(a, b) == (least <= a)
     assert 2 <= jaccard.choose_boundary({5: 10, 12: 100, 40: 50}) <= jaccard.MOST_SMALL + 1
     assert jaccard.choose_boundary({}) == 1
+
+
+def test_the_stage_links_what_op9_does_not(spark):
+    """200 words, four of them changed far apart: 176/216 of 5-word shingles, but 181/213 of 4-word ones, less than 0.85."""
+    words = [f"w{k}" for k in range(200)]
+    copy = [f"x{k}" if k in (40, 80, 120, 160) else w for k, w in enumerate(words)]
+    other = [f"x{k}" if k % 30 == 20 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(other))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.joined(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    assert sorted(r.doc_id for r in jaccard.keep_one_each(spark, docs, "").collect()) == [1, 3]
