@@ -11,6 +11,7 @@ from tapeweave.llm import (
     licenses,
     packing,
     quality,
+    secrets,
     sharding,
     toxicity,
 )
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_license_scan": licenses.op10_license_scan,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op10_license_scan": licenses.oracle_sql(),
+    "op13_secret_scan": secrets.oracle_sql(),
 }
