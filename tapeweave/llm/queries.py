@@ -14,6 +14,7 @@ from tapeweave.llm import (
     secrets,
     sharding,
     toxicity,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_license_scan": licenses.op10_license_scan,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_secret_scan": secrets.op13_secret_scan,
 }
 
