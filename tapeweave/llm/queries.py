@@ -13,6 +13,7 @@ from tapeweave.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     toxicity,
     whitening,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_secret_scan": secrets.op13_secret_scan,
 }
@@ -35,5 +37,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op10_license_scan": licenses.oracle_sql(),
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op13_secret_scan": secrets.oracle_sql(),
 }
