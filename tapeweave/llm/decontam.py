@@ -3,19 +3,24 @@
 The CGK embedding walks through a word sequence: step j writes the word under the pointer and
 moves on if a random bit of (j, word) says so. Sequences a small edit distance apart mostly
 write the same words at the same steps, so edit distance becomes Hamming distance, and
-sampled steps are a locality-sensitive hash. Windows start at the SEEDS rarest words of each
-item and are as long as what is left of the item there; the bands of sampled steps are
-repeated until the recall for MAX_EDITS edits a word, measured on edited sequences, reaches
-RECALL. What shares a band is verified exactly: the least edit distance of the whole item to
-any part of the document around the window.
-
-Items reach the tasks in blocks of BLOCK_ITEMS, documents are read in place: no shuffle.
+sampled steps are a locality-sensitive hash.
+
+Windows are the items themselves, or parts of WINDOW words of longer ones: of the parts of a
+near enough copy one has no more than its share of the edits. An edit touches one word, so of
+a part's seeds, one place more than it may have edits, rarest words first, one stands
+unchanged in the document. From there walks go to both ends of the part. The bands of sampled
+steps are repeated until the chance to share one, measured on edited sequences with as many
+edits as allowed, reaches RECALL for each seed. What shares a band and enough words is
+verified exactly: the least edit distance of the whole item to any part of the document
+around the window.
+
+Items reach the tasks in blocks of BLOCK_ITEMS or BLOCK_CHARS, documents are read in place: no shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,17 +32,20 @@ from tapeweave.llm.common import table
 from tapeweave.llm.textcodes import Words, chunks, code_points, mixed
 
 MAX_EDITS = 0.2
-RECALL = 0.95
-SEEDS = 6
+RECALL = 0.99
+#: Words of a part of an item.
+WINDOW = 64
 SAMPLED = 3
 WALKS = 4
-MOST_BANDS = 64
 #: Steps of a walk for each word of a window: fewer than two, so it seldom runs out of words.
 STEPS_A_WORD = 1.6
 BLOCK_ITEMS = 20_000
-#: Windows are sized to the largest of these that the item still fills; shorter ones exactly.
-WINDOWS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+BLOCK_CHARS = 8 << 20
+#: The walks to each side are sized to the largest of these that the part still fills.
+SIDES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 FILTER_BITS = 20
+#: Seeds in documents that are walked from at once.
+MOST_STARTS = 1 << 15
 
 PAD = np.uint64(0)
 
@@ -46,77 +54,121 @@ def words_of(texts: list[str]) -> Words:
     return Words(*code_points([t.lower() for t in texts]), "isalnum")
 
 
-def window_size(left: int) -> int:
-    return max((w for w in WINDOWS if w <= left), default=left)
+def steps_for(words: np.ndarray | int) -> np.ndarray | int:
+    return (STEPS_A_WORD * words).astype(np.int64) if isinstance(words, np.ndarray) else int(STEPS_A_WORD * words)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK embeddings: row k holds `steps` words of the walk from starts[k], padded past ends[k]."""
-    padded = np.append(words, PAD)
-    out = np.empty((len(starts), steps), dtype=np.uint64)
-    at = starts.astype(np.int64)
-    bits = None
-    for j in range(steps):
-        if j % 64 == 0:
-            bits = mixed(padded ^ mixed(np.array([walk << 20 | j], dtype=np.uint64) + np.uint64(0x51ED)))
-        inside = at < ends
-        here = np.where(inside, at, len(words))
-        out[:, j] = padded[here]
-        at += ((bits[here] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-    return out
+class Walks:
+    """The random bits of walks over some words, 64 steps in a number."""
+
+    def __init__(self, words: np.ndarray):
+        self.padded = np.append(words, PAD)
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def bits(self, walk: int, step: int) -> np.ndarray:
+        key = walk, step // 64
+        if key not in self.known:
+            seed = mixed(np.array([walk << 20 | step // 64 * 64], dtype=np.uint64) + np.uint64(0x51ED))
+            self.known[key] = mixed(self.padded ^ seed)
+        return self.known[key]
+
+
+def embed(
+    words: np.ndarray | Walks, starts: np.ndarray, ends: np.ndarray, walk: int, steps: int | np.ndarray, back: bool = False
+) -> np.ndarray:
+    """CGK embeddings: row k holds `steps` words of the walk from starts[k], padded past ends[k].
+
+    With an array of steps, each row has its own number; what follows it is not set. back:
+    walks to the left, ends[k] is the first word that may be read.
+    """
+    walks = words if isinstance(words, Walks) else Walks(words)
+    padded, last = walks.padded, len(walks.padded) - 1
+    counts = np.broadcast_to(steps, len(starts))
+    order = np.argsort(-counts, kind="stable")
+    top = int(counts.max(initial=0))
+    out = np.empty((top, len(starts)), dtype=np.uint64)
+    at, bound = starts.astype(np.int64)[order], ends[order]
+    active = np.searchsorted(-counts[order], -np.arange(top), side="left")
+    for j in range(top):
+        n = active[j]
+        here = at[:n]
+        inside = here >= bound[:n] if back else here < bound[:n]
+        here = np.where(inside, here, last)
+        out[j, order[:n]] = padded[here]
+        moves = (walks.bits(walk, j)[here] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
+        at[:n] += -moves if back else moves
+    return out.T
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     out = words.tolist()
     for _ in range(edits):
-        k, kind = int(rng.integers(len(out))), int(rng.integers(3))
+        k, kind = int(rng.integers(len(out) + 1)), int(rng.integers(3))
         fresh = int(rng.integers(1, 1 << 62))
-        if kind == 0:
-            out[k] = fresh
-        elif kind == 1:
+        if kind == 1 or not out:
             out.insert(k, fresh)
-        elif len(out) > 1:
-            del out[k]
+        elif kind == 0:
+            out[k % len(out)] = fresh
+        else:
+            del out[k % len(out)]
     return np.array(out, dtype=np.uint64)
 
 
-@lru_cache(maxsize=64)
-def same_step_share(size: int, max_edits: float = MAX_EDITS, trials: int = 200) -> float:
-    """Chance that a sampled step agrees on sequences of `size` words with that many edits."""
+@lru_cache(maxsize=256)
+def step_shares(size: int, max_edits: float = MAX_EDITS, trials: int = 200) -> np.ndarray:
+    """Row k: for each walk, the share of steps that agree on trial k's pair, of `size` words and the most edits.
+
+    A third of the words stand left of the seed, which both have, and walks go both ways.
+    """
     rng = np.random.default_rng(size)
-    steps, agree = max(1, int(STEPS_A_WORD * size)), []
+    left, pairs, seeds = (size - 1) // 3, [], []
+    for _ in range(trials):
+        a = rng.integers(1, 1 << 62, size=size).astype(np.uint64)
+        edits = int(max_edits * size) if size > 1 else 0
+        before = int(rng.binomial(edits, left / max(1, size - 1)))
+        b = np.concatenate([edited(a[:left], before, rng), a[left : left + 1], edited(a[left + 1 :], edits - before, rng)])
+        pairs += [a, b]
+        seeds += [left, int(np.flatnonzero(b == a[left])[0])]
+    ends = np.cumsum([len(x) for x in pairs])
+    firsts = np.append(0, ends[:-1])
+    at = firsts + np.array(seeds)
+    walks = Walks(np.concatenate(pairs))
+    out = np.empty((trials, WALKS))
     for walk in range(WALKS):
-        pairs = []
-        for _ in range(trials // WALKS):
-            a = rng.integers(1, 1 << 62, size=size).astype(np.uint64)
-            # The first word is a seed, which both have.
-            b = np.append(a[:1], edited(a[1:], int(max_edits * size), rng)) if size > 1 else a
-            pairs += [a, b]
-        ends = np.cumsum([len(x) for x in pairs])
-        rows = embed(np.concatenate(pairs), np.append(0, ends[:-1]), ends, walk, steps)
-        agree.append(float((rows[0::2] == rows[1::2]).mean()))
-    return sum(agree) / len(agree)
-
-
-def bands_for(size: int, max_edits: float = MAX_EDITS, recall: float = RECALL) -> np.ndarray:
-    """Sampled steps, one row a band. Row k belongs to walk k % WALKS."""
-    steps = max(1, int(STEPS_A_WORD * size))
-    chance = min(same_step_share(size, max_edits) ** SAMPLED, 1 - 1e-9)
-    count = min(MOST_BANDS, max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - chance))))
-    rng = np.random.default_rng(1000 + size)
-    return rng.integers(0, steps, size=(count, SAMPLED))
-
-
-def _band_keys(embedding: np.ndarray, bands: np.ndarray, walk: int, size: int) -> list[tuple[int, np.ndarray]]:
-    out = []
-    for b in range(walk, len(bands), WALKS):
-        key = np.full(len(embedding), np.uint64(size << 16 | b), dtype=np.uint64)
-        for step in bands[b]:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + embedding[:, step])
-        out.append((b, key))
+        rows = np.hstack(
+            [embed(walks, at, ends, walk, max(1, steps_for(size - left))), embed(walks, at - 1, firsts, walk, steps_for(left), back=True)]
+        )
+        out[:, walk] = (rows[0::2] == rows[1::2]).mean(axis=1)
     return out
 
 
+def same_step_share(size: int, max_edits: float = MAX_EDITS) -> float:
+    """Chance that a sampled step agrees on sequences of `size` words with that many edits."""
+    return float(step_shares(size, max_edits).mean())
+
+
+@lru_cache(maxsize=256)
+def band_count(size: int, max_edits: float = MAX_EDITS, recall: float = RECALL) -> int:
+    """Bands, the same number from each walk, that pairs of `size` words with the most edits need to share one at this rate."""
+    missed = 1 - np.minimum(step_shares(size, max_edits), 1 - 1e-9) ** SAMPLED
+    each = 1
+    while (missed.prod(axis=1) ** each).mean() > 1 - recall:
+        each += 1
+    return each * WALKS
+
+
+def bands_for(left: int, right: int, max_edits: float = MAX_EDITS, recall: float = RECALL) -> np.ndarray:
+    """Sampled steps of walks to both sides, one row a band: the steps to the right come first, but for the seed's own.
+
+    Row k belongs to walk k % WALKS. A seed alone has bands without steps.
+    """
+    steps = np.append(np.arange(1, steps_for(right)), max(1, steps_for(right)) + np.arange(steps_for(left)))
+    if not len(steps):
+        return np.zeros((WALKS, 0), dtype=np.int64)
+    count = band_count(left + right, max_edits, recall)
+    return steps[np.random.default_rng(1000 * left + right).integers(0, len(steps), size=(count, SAMPLED))]
+
+
 def distances(pattern: list[int], text: list[int], anchored: bool) -> list[int]:
     """Least edit distance of pattern to a part of text that ends at each place (Myers' bit vectors).
 
@@ -155,81 +207,151 @@ class ItemIndex:
         kept = [k for k in range(len(items)) if len(spans[k])]
         self.ids = [items[k][0] for k in kept]
         self.words = [spans[k].tolist() for k in kept]
+        self.distinct = [frozenset(ws) for ws in self.words]
+        self.lengths = np.array([len(ws) for ws in self.words], dtype=np.int64)
         self.max_edits = max_edits
-        in_items = Counter(w for ws in self.words for w in set(ws))
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        first = np.append(0, np.cumsum(self.lengths))
+        seeds = self._seeds()
+        #: Pairs of side lengths, and the bands of each.
+        self.shapes = sorted({(left, right) for _, _, left, right in seeds})
+        self.sides = np.array(self.shapes, dtype=np.int64).reshape(-1, 2)
+        self.bands = [bands_for(left, right, max_edits, recall) for left, right in self.shapes]
+        shape = {s: k for k, s in enumerate(self.shapes)}
+        item, k = (np.array([s[x] for s in seeds], dtype=np.int64) for x in (0, 1))
+        shapes = np.array([shape[s[2:]] for s in seeds], dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *(spans[x] for x in kept)])
+        word = flat[first[item] + k]
+        # Seed words with their shapes: shapes of seed s are shaped[by_seed[s] : by_seed[s + 1]].
+        self.seeds = np.unique(word)
+        pairs = np.unique(np.searchsorted(self.seeds, word) * max(1, len(self.shapes)) + shapes)
+        self.shaped = pairs % max(1, len(self.shapes))
+        self.by_seed = np.searchsorted(pairs // max(1, len(self.shapes)), np.arange(len(self.seeds) + 1))
+        self.maybe_seed = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.maybe_seed[(self.seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        # Bands of all seeds, sorted: entries[k] is the seed that made known[k].
+        at, keys = [], []
+        for rows, found in self._keys(Walks(flat), first[item] + k, first[item], first[item + 1], np.arange(len(seeds)), shapes):
+            at.append(np.broadcast_to(rows, found.shape).ravel())
+            keys.append(found.ravel())
+        keys_flat = np.concatenate([np.zeros(0, dtype=np.uint64), *keys])
+        at_flat = np.concatenate([np.zeros(0, dtype=np.int64), *at])
+        order = np.argsort(keys_flat, kind="stable")
+        self.known = keys_flat[order]
+        self.known_item, self.known_k = item[at_flat[order]], k[at_flat[order]]
+        self.maybe_known = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.maybe_known[(self.known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def _seeds(self) -> list[tuple[int, int, int, int]]:
+        """(item, place, words to the left, words to the right with the seed's own) of every part's seeds."""
+        in_items = Counter(w for ws in self.distinct for w in ws)
+        out = []
         for item, ws in enumerate(self.words):
-            # Seeds stand in the first two thirds, so that a window still spans much of the item.
-            room = max(1, 2 * len(ws) // 3)
-            chosen, used = sorted(range(room), key=lambda k: (in_items[ws[k]], ws[k])), set()
-            for k in chosen:
-                if ws[k] not in used and len(used) < SEEDS:
-                    used.add(ws[k])
-                    seeds.setdefault(ws[k], []).append((item, k))
-        self.seeds = np.array(sorted(seeds), dtype=np.uint64)
-        self.maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.maybe[(self.seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.sizes = sorted({window_size(len(self.words[i]) - k) for at in seeds.values() for i, k in at})
-        self.bands = {size: bands_for(size, max_edits, recall) for size in self.sizes}
-        entries: dict[int, list[tuple[int, int]]] = {}
-        for at in seeds.values():
-            for item, k in at:
-                ws = np.array(self.words[item], dtype=np.uint64)
-                size = window_size(len(ws) - k)
-                for _, key in self.keys(ws, np.array([k]), np.array([len(ws)]), size):
-                    entries.setdefault(int(key[0]), []).append((item, k))
-        self.entries = entries
-        self.known = np.array(sorted(entries), dtype=np.uint64)
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int):
-        steps = max(1, int(STEPS_A_WORD * size))
-        for walk in range(WALKS):
-            yield from _band_keys(embed(words, starts, ends, walk, steps), self.bands[size], walk, size)
+            parts = -(-len(ws) // WINDOW)
+            cuts = [len(ws) * p // parts for p in range(parts + 1)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                met: Counter[int] = Counter()
+                ranked = []
+                for k in range(lo, hi):
+                    ranked.append((met[ws[k]], in_items[ws[k]], ws[k], k))  # a word's first place comes first
+                    met[ws[k]] += 1
+                for *_, k in sorted(ranked)[: int(self.max_edits * (hi - lo)) + 1]:
+                    left, right = (max(x for x in SIDES if x <= side) for side in (k - lo, hi - k))
+                    out.append((item, k, left, right))
+        return out
 
-    def starts(self, words: np.ndarray) -> np.ndarray:
+    def _keys(
+        self, walks: Walks, starts: np.ndarray, lows: np.ndarray, highs: np.ndarray, row_start: np.ndarray, row_shape: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, keys) of the bands of rows, each a start with a shape: keys has one line for each band."""
+        lefts, rights = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        np.maximum.at(lefts, row_start, steps_for(self.sides[row_shape, 0]))
+        np.maximum.at(rights, row_start, np.maximum(1, steps_for(self.sides[row_shape, 1])))
+        order = np.argsort(row_shape, kind="stable")
+        cuts = np.searchsorted(row_shape[order], np.arange(len(self.shapes) + 1))
+        for walk in range(WALKS):
+            right = embed(walks, starts, highs, walk, rights).T
+            left = embed(walks, starts - 1, lows, walk, lefts, back=True).T
+            for shape, (_, width) in enumerate(self.shapes):
+                rows = order[cuts[shape] : cuts[shape + 1]]
+                if not len(rows):
+                    continue
+                at = row_start[rows]
+                bands = self.bands[shape][walk::WALKS]
+                turn = max(1, steps_for(width))
+                numbers = np.arange(walk, len(self.bands[shape]), WALKS, dtype=np.uint64) | np.uint64(shape << 16)
+                keys = mixed(walks.padded[starts[at]][None, :] ^ mixed(numbers)[:, None])
+                for column in bands.T:
+                    words = np.empty(keys.shape, dtype=np.uint64)
+                    for b, step in enumerate(column):
+                        words[b] = right[step, at] if step < turn else left[step - turn, at]
+                    keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words)
+                yield rows, keys
+
+    def starts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of seed words, and which seed each is."""
         if not len(self.seeds):
-            return np.zeros(0, dtype=np.int64)
-        near = np.flatnonzero(self.maybe[(words >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        near = np.flatnonzero(self.maybe_seed[(words >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         spot = np.minimum(np.searchsorted(self.seeds, words[near]), len(self.seeds) - 1)
-        return near[self.seeds[spot] == words[near]]
-
-    def candidates(self, words: Words) -> set[tuple[int, int, int]]:
-        """(text, item, word at which the item would begin) of windows that share a band."""
-        starts = self.starts(words.hashes)
-        out: set[tuple[int, int, int]] = set()
-        if not len(starts):
-            return out
-        text = words.text[starts]
-        ends = words.first[text + 1]
-        for size in self.sizes:
-            for _, key in self.keys(words.hashes, starts, ends, size):
-                spot = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-                for w in np.flatnonzero(self.known[spot] == key):
-                    for item, k in self.entries[int(key[w])]:
-                        out.add((int(text[w]), item, int(starts[w]) - k))
-        return out
-
-    def verify(self, words: Words, text: int, item: int, begin: int) -> tuple[int, int, int] | None:
-        """(distance, first word, words) of the best part around begin, if it is near enough."""
+        found = self.seeds[spot] == words[near]
+        return near[found], spot[found]
+
+    def candidates(self, words: Words) -> np.ndarray:
+        """Rows (text, item, word at which the item would begin) of windows that share a band, in order."""
+        places, seeds = self.starts(words.hashes)
+        walks, out = Walks(words.hashes), []
+        for lo in range(0, len(places), MOST_STARTS):
+            starts, seed = places[lo : lo + MOST_STARTS], seeds[lo : lo + MOST_STARTS]
+            text = words.text[starts]
+            counts = self.by_seed[seed + 1] - self.by_seed[seed]
+            row_start = np.repeat(np.arange(len(starts)), counts)
+            within = np.arange(len(row_start)) - np.repeat(np.cumsum(counts) - counts, counts)
+            row_shape = self.shaped[self.by_seed[seed[row_start]] + within]
+            for rows, keys in self._keys(walks, starts, words.first[text], words.first[text + 1], row_start, row_shape):
+                band, row = np.nonzero(self.maybe_known[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                key, at = keys[band, row], row_start[rows[row]]
+                begin = np.searchsorted(self.known, key, side="left")
+                many = np.searchsorted(self.known, key, side="right") - begin
+                at = np.repeat(at, many)
+                entry = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+                out.append(np.stack([text[at], self.known_item[entry], starts[at] - self.known_k[entry]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
+
+    def stretches(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, last word) around candidates, overlapping ones together."""
+        found = self.candidates(words)
+        if not len(found):
+            return
+        text, item, begin = found.T
+        most = (self.max_edits * self.lengths[item]).astype(np.int64)
+        lows = np.maximum(words.first[text], begin - most)
+        highs = np.minimum(words.first[text + 1], begin + self.lengths[item] + most)
+        same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (lows[1:] <= highs[:-1])
+        cuts = np.append(0, np.flatnonzero(~same) + 1)
+        yield from zip(text[cuts].tolist(), item[cuts].tolist(), lows[cuts].tolist(), highs[np.append(cuts[1:], len(text)) - 1].tolist(), strict=True)
+
+    def verify(self, words: Words, text: int, item: int, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(distance, first word, words) of the best part of words lo to hi, if it is near enough."""
         pattern = self.words[item]
         most = int(self.max_edits * len(pattern))
-        first, last = int(words.first[text]), int(words.first[text + 1])
-        lo, hi = max(first, begin - most), min(last, begin + len(pattern) + most)
         part = words.hashes[lo:hi].tolist()
+        # An edit takes one distinct word away at most.
+        if len(self.distinct[item].intersection(part)) < len(self.distinct[item]) - most:
+            return None
         scores = distances(pattern, part, anchored=False)
         if not scores or min(scores) > most:
             return None
         end = scores.index(min(scores))
         back = distances(pattern[::-1], part[end::-1], anchored=True)
         length = back.index(min(back)) + 1
-        return min(scores), lo + end + 1 - length - first, length
+        return min(scores), lo + end + 1 - length - int(words.first[text]), length
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text: (item_id, first_word, n_words, distance, item_words) of its items, the nearest part of each."""
         words = words_of(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, begin in self.candidates(words):
-            found = self.verify(words, text, item, begin)
+        for text, item, lo, hi in self.stretches(words):
+            found = self.verify(words, text, item, lo, hi)
             if found and (found < best.get((text, item), (1 << 60,))):
                 best[text, item] = found
         out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
@@ -244,19 +366,19 @@ HITS = "array<struct<item_id: long, first_word: long, n_words: long, distance: l
 def finder(benchmark: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL):
     """A column function: text to the array of benchmark items in it.
 
-    The items come to the driver in blocks of BLOCK_ITEMS, each a fixed bound for what a
-    broadcast holds; a larger benchmark takes more passes over the words.
+    The items come to the driver in blocks of BLOCK_ITEMS or BLOCK_CHARS (one longer item is a
+    block), a fixed bound for what a broadcast holds; a larger benchmark takes more passes
+    over the words.
     """
     spark = benchmark.sparkSession
     items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks, block = [], []
+    blocks, room = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == BLOCK_ITEMS:
-            blocks.append(block)
-            block = []
-    if block:
-        blocks.append(block)
+        if not blocks or len(blocks[-1]) == BLOCK_ITEMS or room < len(row["text"]):
+            blocks.append([])
+            room = BLOCK_CHARS
+        blocks[-1].append((row["item_id"], row["text"]))
+        room -= len(row["text"])
 
     def one(block: list[tuple[int, str]]):
         shared = spark.sparkContext.broadcast(ItemIndex(block, max_edits, recall))

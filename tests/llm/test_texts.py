@@ -78,8 +78,35 @@ def test_planted_items_are_found(spark, corpus):
     assert len(exact) > 20 and all(exact)
 
 
+def test_recall_with_edits_on_the_rarest_words():
+    """The hard case: as many edits as allowed, all on words that the index starts windows from."""
+    rng = random.Random(1)
+    for vocabulary in (60, 4000):
+        words = [f"w{k}" for k in range(vocabulary)]
+        for n in (6, 10, 15, 25, 40, 64, 96, 160, 400):
+            items = [(k, " ".join(rng.choices(words, k=n))) for k in range(20)]
+            index, texts = decontam.ItemIndex(items), []
+            places = {k: [at for item, at, *_ in index._seeds() if item == k] for k, _ in items}
+            for k, text in items * 3:
+                part = text.split()
+                for at in rng.sample(places[k], int(0.2 * n)):
+                    part[at] = f"new{rng.randrange(10**9)}"
+                texts.append((k, " ".join(rng.choices(words, k=30) + part + rng.choices(words, k=30))))
+            found = index.hits([text for _, text in texts])
+            caught = [any(h[0] == k for h in hits) for (k, _), hits in zip(texts, found, strict=True)]
+            assert sum(caught) >= 0.93 * len(caught), (vocabulary, n, sum(caught))
+
+
+def test_one_word_items_and_repeated_words():
+    index = decontam.ItemIndex([(1, "unique"), (2, "word " * 20), (3, "a b")])
+    found = index.hits(["a unique a b", "word " * 5000, "word " * 15, "word " * 17, ""])
+    assert [sorted(h[0] for h in hits) for hits in found] == [[1, 3], [2], [], [2], []]
+    assert found[1][0][3:] == (0, 20)
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
     items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(5)]
     docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
     found = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
