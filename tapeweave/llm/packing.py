@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeweave.llm.common import table
+from tapeweave.llm.textcodes import Words, chunks, code_points
 from tapeweave.session import written
 
 CAPACITY = 2048
@@ -29,8 +30,13 @@ WIDTH = 8
 BUCKETS = 256
 #: Ends the search for better patterns; what is found by then is still a whole packing.
 MOST_PATTERNS = 4000
-#: Words, and pieces of words, that a Python worker remembers: about 200 bytes each.
-REMEMBERED = 800_000
+#: What a Python worker remembers: bytes of the ids of words, and of pieces of words in each of
+#: two generations; what a piece takes besides its characters and ids, and the longest piece.
+TABLE_BYTES, PIECE_BYTES = 48 << 20, 12 << 20
+ENTRY_BYTES = 160
+LONGEST_REMEMBERED = 64
+#: Characters whose words are looked up at once.
+CHUNK = 1 << 19
 END_ID = np.array([1], dtype="<u4").tobytes()
 
 
@@ -50,58 +56,113 @@ _PLAIN = re.compile("[\x21-\x3b\x3d-\x7eÀ-įı-ſ]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
-class WordTokens(dict):
-    """Ids, as little-endian bytes, of words without white space; remembers what it has seen.
+class PieceTokens(dict):
+    """Ids of the pieces that the tokenizer's pattern cuts; remembers what it has seen, bound in bytes.
+
+    The younger generation is here, the one before in `older`. When the younger is full it
+    becomes the older and the one before goes; what is asked for again moves up, so frequent
+    pieces stay.
+    """
+
+    def __init__(self, model, most: int = PIECE_BYTES):
+        super().__init__()
+        self.model = model
+        self.most = most
+        self.held = 0
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.letters = _byte_letters()
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            ids = tuple(t.id for t in self.model.tokenize(spelled))
+        if len(piece) <= LONGEST_REMEMBERED:
+            self.held += len(piece) + 8 * len(ids) + ENTRY_BYTES
+            if self.held > self.most:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class WordTokens:
+    """Ids of texts by way of their words; remembers the ids of words by their hash, bound in bytes.
 
     The tokenizer drops white space before it cuts, so the ids of a text are those of its
     words one after another. Words of plain letters go to the tokenizer's model piece by
-    piece, all others through the whole tokenizer.
+    piece, all others through the whole tokenizer. A word is known by a 64-bit hash.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = TABLE_BYTES):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         self.cut = regex.compile(_PIECES).findall
-        self.pieces: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
+        self.piece = PieceTokens(self.whole.model).__getitem__
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Hashes of known words in order, where their ids begin in the pool, and how many they are.
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
+
+    def answer(self, word: str) -> list[int] | tuple[int, ...]:
         if not _PLAIN.fullmatch(word):
-            ids = self.encode(word)
-        else:
-            lowered = word.lower()
-            if lowered.isalpha():
-                ids = self.piece(lowered)
-            elif lowered[-1] in ".,;:!?" and lowered[:-1].isalpha():
-                ids = self.piece(lowered[:-1]) + self.piece(lowered[-1])
-            else:
-                ids = b"".join(map(self.piece, self.cut(lowered)))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
-        return ids
+            return self.whole.encode(word, add_special_tokens=False).ids
+        lowered = word.lower()
+        if lowered.isalpha():
+            return self.piece(lowered)
+        if lowered[-1] in ".,;:!?" and lowered[:-1].isalpha():
+            return self.piece(lowered[:-1]) + self.piece(lowered[-1])
+        return [i for piece in self.cut(lowered) for i in self.piece(piece)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds the ids of words, whose hashes are in order and not known."""
+        answers = [self.answer(w) for w in words]
+        counts = np.array([len(a) for a in answers], dtype=np.int64)
+        firsts = len(self.pool) + np.cumsum(counts) - counts
+        spot = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, spot, hashes)
+        self.first = np.insert(self.first, spot, firsts)
+        self.count = np.insert(self.count, spot, counts)
+        self.pool = np.concatenate([self.pool, np.fromiter((i for a in answers for i in a), dtype="<u4", count=int(counts.sum()))])
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        codes, bounds = code_points(texts)
+        words = Words(codes, bounds, "visible")
+        hashes, places, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if 24 * len(self.known) + self.pool.nbytes > self.most:
+            self._forget()
+        spot = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        missing = np.flatnonzero(self.known[spot] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(missing):
+            whole = "".join(texts)
+            starts = words.starts[places[missing]]
+            ends = starts + words.lengths[places[missing]]
+            self._learn(hashes[missing], [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        spot = np.searchsorted(self.known, hashes)[inverse]
+        counts = self.count[spot]
+        ahead = np.append(0, np.cumsum(counts))
+        ids = self.pool[np.arange(int(ahead[-1])) + np.repeat(self.first[spot] - ahead[:-1], counts)]
+        cuts = ahead[words.first]
+        return [ids[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def text(self, text: str) -> bytes:
-        if _CONTROL.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        """The ids of one text, little-endian."""
+        return next(self.texts([text])).tobytes()
+
+    def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, without the end id; null is empty. Texts are worked on in chunks."""
+        for _, part in chunks(texts, CHUNK):
+            odd = {k for k, text in enumerate(part) if _CONTROL.search(text)}
+            found = self._plain(["" if k in odd else text for k, text in enumerate(part)])
+            for k, text in enumerate(part):
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4") if k in odd else found[k]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -131,8 +192,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
         tokens = word_tokens(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (tokens.text(text) if text else b"") + END_ID
+            for doc_id, found in zip(batch["doc_id"], tokens.texts(batch["text"].tolist()), strict=True):
+                ids = found.tobytes() + END_ID
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
@@ -309,8 +370,8 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None)
         tokens = word_tokens(path)
         for batch in batches:
             ids = []
-            for text, start, length in zip(batch["text"], batch["start"], batch["length"], strict=True):
-                whole = (tokens.text(text) if text else b"") + END_ID
+            for found, start, length in zip(tokens.texts(batch["text"].tolist()), batch["start"], batch["length"], strict=True):
+                whole = found.tobytes() + END_ID
                 ids.append(np.frombuffer(whole[4 * start : 4 * (start + length)], dtype="<u4").astype("int32"))
             yield batch[["sequence_id", "offset", "length"]].assign(ids=ids)
 

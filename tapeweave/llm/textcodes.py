@@ -48,7 +48,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _is(kind: str) -> np.ndarray:
-    """Whether a code point is of a kind: a method name of str, or `unspaced`."""
+    """Whether a code point is of a kind: a method name of str, `unspaced`, or `visible` (no white space for str)."""
+    if kind == "visible":
+        return ~_is("isspace")
     if kind == "unspaced":
         table = np.ones(0x110000, dtype=bool)
         table[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -72,9 +74,10 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
         if not len(at):
             self.hashes = self.stems = np.zeros(0, dtype=np.uint64)
+            self.lengths = np.zeros(0, dtype=np.int64)
             return
         heads = np.searchsorted(at, self.starts)
-        lengths = np.diff(np.append(heads, len(at)))
+        self.lengths = lengths = np.diff(np.append(heads, len(at)))
         place = np.arange(len(at)) - np.repeat(heads, lengths)
         powers = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=np.uint64))
         terms = mixed((codes[at].astype(np.uint64) + np.uint64(1)) * _GOLD) * powers[place]

@@ -61,6 +61,19 @@ def test_ids_are_the_tokenizers(corpus):
         assert np.frombuffer(words.text(text), dtype="<u4").tolist() == expected
 
 
+def test_ids_do_not_depend_on_what_is_remembered(corpus, monkeypatch):
+    """Tiny bounds, chunks of a text each, and words of a megabyte give the same ids."""
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    words = packing.WordTokens(packing.default_tokenizer(), most=2_000)
+    words.piece.__self__.most = 1_000
+    texts = [*corpus.text.head(40), None, "", *ODD_TEXTS, "ab" * 500_000 + " end", "x" * 70 + " " + "x" * 70]
+    for text, ids in zip(texts, words.texts(texts), strict=True):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert 24 * len(words.known) + words.pool.nbytes < 2_000_000 + 2_000
+    assert sum(map(len, words.piece.__self__.older)) < 2_000
+
+
 def test_packing_round_trip(spark, corpus):
     docs = spark.createDataFrame(corpus[["doc_id", "text"]]).repartition(3)
     pieces = packing.pack(docs).cache()
