@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -100,16 +101,19 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.cut = regex.compile(_PIECES).findall
-        self.piece = PieceTokens(self.whole.model).__getitem__
+        self.pieces = PieceTokens(self.whole.model)
+        self.piece = self.pieces.__getitem__
         self.most = most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         #: Hashes of known words in order, where their ids begin in the pool, and how many they are.
         self.known = np.zeros(0, dtype=np.uint64)
         self.first = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype="<u4")
+        self.pieces.clear()
+        self.pieces.older, self.pieces.held = {}, 0
 
     def answer(self, word: str) -> list[int] | tuple[int, ...]:
         if not _PLAIN.fullmatch(word):
@@ -137,7 +141,7 @@ class WordTokens:
         words = Words(codes, bounds, "visible")
         hashes, places, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if 24 * len(self.known) + self.pool.nbytes > self.most:
-            self._forget()
+            self.forget()
         spot = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
         missing = np.flatnonzero(self.known[spot] != hashes) if len(self.known) else np.arange(len(hashes))
         if len(missing):
@@ -175,11 +179,15 @@ def _byte_letters() -> dict[int, str]:
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """The worker's tokenizer with what it remembers, kept between tasks."""
+@contextmanager
+def word_tokens(path: str) -> Iterator[WordTokens]:
+    """The worker's tokenizer, kept between tasks; what it remembers goes with the task."""
     if path not in _TOKENS:
         _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    try:
+        yield _TOKENS[path]
+    finally:
+        _TOKENS[path].forget()
 
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -189,18 +197,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
     """Pieces of at most capacity ids of every row; a null text is one piece with the end id."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = word_tokens(tokenizer)
-        for batch in batches:
-            out = []
-            for doc_id, found in zip(batch["doc_id"], tokens.texts(batch["text"].tolist()), strict=True):
-                ids = found.tobytes() + END_ID
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
-            columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({c: "int64" for c in columns[1:]} | {"doc_id": "Int64"})
+        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        with word_tokens(tokenizer) as tokens:
+            for batch in batches:
+                out = []
+                for doc_id, found in zip(batch["doc_id"], tokens.texts(batch["text"].tolist()), strict=True):
+                    ids = found.tobytes() + END_ID
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        piece = ids[4 * start : 4 * (start + capacity)]
+                        out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
+                frame = pd.DataFrame(out, columns=columns)
+                yield frame.astype({c: "int64" for c in columns[1:]} | {"doc_id": "Int64"})
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(cut, PIECE_SCHEMA)
@@ -367,13 +375,13 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None)
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = word_tokens(path)
-        for batch in batches:
-            ids = []
-            for found, start, length in zip(tokens.texts(batch["text"].tolist()), batch["start"], batch["length"], strict=True):
-                whole = found.tobytes() + END_ID
-                ids.append(np.frombuffer(whole[4 * start : 4 * (start + length)], dtype="<u4").astype("int32"))
-            yield batch[["sequence_id", "offset", "length"]].assign(ids=ids)
+        with word_tokens(path) as tokens:
+            for batch in batches:
+                ids = []
+                for found, start, length in zip(tokens.texts(batch["text"].tolist()), batch["start"], batch["length"], strict=True):
+                    whole = found.tobytes() + END_ID
+                    ids.append(np.frombuffer(whole[4 * start : 4 * (start + length)], dtype="<u4").astype("int32"))
+                yield batch[["sequence_id", "offset", "length"]].assign(ids=ids)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut_ids = (
