@@ -17,7 +17,7 @@ from tapeweave.plans import probes as pp
 from tapeweave.plans import representation as rep
 from tapeweave.plans import tables as t
 from tapeweave.plans.registry import query
-from tapeweave.plans.sqlbase import fragment, with_tables
+from tapeweave.plans.sqlbase import fragment, once, with_tables
 from tapeweave.sources import driver_tables as src
 
 WINDOW = probes.WINDOW
@@ -194,19 +194,22 @@ fragment(
     GROUP BY 1, 2, 3""",
     "lines",
 )
-fragment(
+once(
+    "line_scores",
+    f"""SELECT w, raw_target, predictor_name, any_value(predictor_kind) AS predictor_kind, any_value(model_name) AS model_name,
+      any_value(feature_family) AS feature_family, {METRICS}, count(*) AS validation_count,
+      count(*) FILTER ({REASON} <> '') AS invalid_prediction_count FROM lines GROUP BY 1, 2, 3""",
+    "lines",
+)
+once(
     "line_results",
     f"""SELECT r.*, k.spearman_correlation, CASE WHEN b.rmse > 0 THEN r.rmse / b.rmse ELSE 0 END AS rmse_ratio_vs_baseline,
-    CASE WHEN b.mae > 0 THEN r.mae / b.mae ELSE 0 END AS mae_ratio_vs_baseline FROM (
-      SELECT w, raw_target, predictor_name, any_value(predictor_kind) AS predictor_kind, any_value(model_name) AS model_name,
-      any_value(feature_family) AS feature_family, {METRICS}, count(*) AS validation_count,
-      count(*) FILTER ({REASON} <> '') AS invalid_prediction_count FROM lines GROUP BY 1, 2, 3) r
+    CASE WHEN b.mae > 0 THEN r.mae / b.mae ELSE 0 END AS mae_ratio_vs_baseline FROM line_scores r
     JOIN line_ranks k ON r.w = k.w AND r.raw_target = k.raw_target AND r.predictor_name = k.predictor_name
-    JOIN (SELECT w, raw_target, model_name, feature_family, sqrt(avg((actual - prediction) ** 2)) AS rmse,
-      avg(abs(actual - prediction)) AS mae FROM lines GROUP BY 1, 2, 3, 4) b ON b.w = r.w AND b.raw_target = r.raw_target
+    JOIN line_scores b ON b.w = r.w AND b.raw_target = r.raw_target
       AND CASE WHEN r.feature_family = '{probes.INCREMENTAL}' THEN b.model_name = r.model_name AND b.feature_family = 'hand_market_features'
         ELSE b.model_name = 'train_mean' END""",
-    "lines",
+    "line_scores",
     "line_ranks",
 )
 fragment(
@@ -254,16 +257,19 @@ CLASS_METRICS = """count(*) AS scored_count, avg(CASE WHEN (p >= 0.5) = (actual
     avg((p - actual) ** 2) AS brier_score, -avg(actual * ln(p) + (1 - actual) * ln(1 - p)) AS log_loss,
     avg(actual) AS class_prevalence"""
 CLASS_NAMES = ["accuracy", "balanced_accuracy", "brier_score", "log_loss", "class_prevalence"]
-fragment(
+once(
+    "doc_scores",
+    f"""SELECT w, target, predictor_name, any_value(predictor_kind) AS predictor_kind, any_value(model_name) AS model_name,
+      any_value(feature_family) AS feature_family, {CLASS_METRICS} FROM doc_p GROUP BY 1, 2, 3""",
+    "doc_p",
+)
+once(
     "doc_results",
     f"""SELECT r.*, a.roc_auc, q.pr_auc, CASE WHEN b.brier_score > 0 THEN r.brier_score / b.brier_score ELSE 0 END AS brier_ratio_vs_baseline,
-    CASE WHEN b.log_loss > 0 THEN r.log_loss / b.log_loss ELSE 0 END AS log_loss_ratio_vs_baseline FROM (
-      SELECT w, target, predictor_name, any_value(predictor_kind) AS predictor_kind, any_value(model_name) AS model_name,
-      any_value(feature_family) AS feature_family, {CLASS_METRICS} FROM doc_p GROUP BY 1, 2, 3) r
+    CASE WHEN b.log_loss > 0 THEN r.log_loss / b.log_loss ELSE 0 END AS log_loss_ratio_vs_baseline FROM doc_scores r
     JOIN doc_auc a USING (w, target, predictor_name) JOIN doc_ap q USING (w, target, predictor_name)
-    JOIN (SELECT w, target, avg((p - actual) ** 2) AS brier_score, -avg(actual * ln(p) + (1 - actual) * ln(1 - p)) AS log_loss
-      FROM doc_p WHERE predictor_name = 'class_prior' GROUP BY 1, 2) b ON b.w = r.w AND b.target = r.target""",
-    "doc_p",
+    JOIN doc_scores b ON b.w = r.w AND b.target = r.target AND b.predictor_name = 'class_prior'""",
+    "doc_scores",
     "doc_auc",
     "doc_ap",
 )

@@ -9,10 +9,20 @@ from tapeweave.sources.driver_tables import SERIES
 FRAGMENTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
+#: Fragments that are worked out once.
+ONCE: set[str] = set()
+
+
 def fragment(name: str, sql: str, *needs: str) -> None:
     FRAGMENTS[name] = (sql, needs)
 
 
+def once(name: str, sql: str, *needs: str) -> None:
+    """A fragment that is worked out once and read as often as it is named: sums of doubles, which a second pass adds up in another order."""
+    fragment(name, sql, *needs)
+    ONCE.add(name)
+
+
 def with_tables(body: str, *needs: str) -> str:
     """Prefix body with the fragments it needs, each after those it builds on."""
     ordered: list[str] = []
@@ -28,7 +38,7 @@ def with_tables(body: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return body
-    tables = ",\n".join(f"{name} AS ({FRAGMENTS[name][0]})" for name in ordered)
+    tables = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in ONCE)}({FRAGMENTS[name][0]})" for name in ordered)
     return f"WITH {tables}\n{body}"
 
 
