@@ -3,7 +3,7 @@
 A design holds one row per key, fold and date with role 'fit' or 'score', a feature array
 x and a value y; fold 0 is the outer split and folds 1..3 are the inner ones. Linear heads
 need only a key's moments, which partitions add up before any shuffle. Huber and logistic
-heads reweight rows each round; a key's rows are one per calendar date, so they fit a task.
+heads reweight rows each round (rounds.py), keys of any size.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tapeweave.functions.expr import finite
 from tapeweave.functions.vectors import dot, field, moments, unpack, vector_size
 from tapeweave.operators.metrics import classification_metrics
+from tapeweave.operators.rounds import Huber, Logistic, fit_in_rounds, solve
 from tapeweave.session import spread, written
 
 # Search grids of the heads.
@@ -101,31 +102,14 @@ def elastic_net_coefficients(xx: np.ndarray, xy: np.ndarray, alphas: np.ndarray,
     return b
 
 
-def huber_coefficients(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
-    """Thirty rounds of reweighted ridge on centered y."""
-    n, size = x.shape
-    b = np.zeros(size)
-    delta = 1.345 * max(float(y.std()), 1e-12)
-    for _ in range(30):
-        error = np.abs(y - x @ b)
-        weight = np.where(error > delta, delta / np.maximum(error, 1e-12), 1.0)
-        weighted = x * weight[:, None]
-        b = np.linalg.solve(x.T @ weighted / n + alpha * np.eye(size), weighted.T @ y / n)
-    return b
+def logistic_coefficients(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic coefficients of rows that are all here, one row per penalty, and intercepts."""
+    return solve(Logistic(len(y), float(y.mean()), float(y.std()), x.shape[1], alphas), x, y)
 
 
-def logistic_coefficients(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four hundred gradient steps from the log-odds intercept, all penalties at once."""
-    share = y.mean()
-    start = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1.0))
-    b = np.zeros((x.shape[1], len(alphas)))
-    intercept = np.full(len(alphas), start)
-    for _ in range(400):
-        p = 1.0 / (1.0 + np.exp(-np.clip(intercept + x @ b, -35.0, 35.0)))
-        error = p - y[:, None]
-        intercept = intercept - 0.2 * error.mean(axis=0)
-        b = b - 0.2 * (x.T @ error / len(y) + alphas * b)
-    return b.T, intercept
+def huber_coefficients(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Huber coefficients of rows that are all here, one row per penalty, and intercepts."""
+    return solve(Huber(len(y), float(y.mean()), float(y.std()), x.shape[1], alphas), x, y)
 
 
 def _coefficient_schema(df: DataFrame, own: list[str]) -> T.StructType:
@@ -192,20 +176,12 @@ def fit_iterative(design: DataFrame, keys: list[str], head: str) -> DataFrame:
     """Huber or logistic coefficients of every penalty per key and fold."""
     own = [*keys, "fold"]
     rows = design.filter("role = 'fit' AND size(x) > 0").select(*own, "pos", "x", "y")
+    grid = candidates_of(head)
+
+    def as_rows(key: dict, coefficients: np.ndarray, intercepts: np.ndarray) -> pd.DataFrame:
+        return _coefficient_rows(key, head, grid, coefficients, intercepts)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("pos")
-        x = np.stack(ordered["x"].to_numpy())
-        y = ordered["y"].to_numpy(dtype=np.float64)
-        key = {k: pdf[k].iloc[0] for k in own}
-        grid = candidates_of(head)
-        if head == "huber":
-            level = y.mean()
-            return _coefficient_rows(key, head, grid, [huber_coefficients(x, y - level, a) for a, _ in grid], level)
-        solved, intercepts = logistic_coefficients(x, y, np.array([a for a, _ in grid]))
-        return _coefficient_rows(key, head, grid, solved, intercepts)
-
-    return spread(rows, *own).groupBy(*own).applyInPandas(solve, _coefficient_schema(design, own))
+    return fit_in_rounds(rows, own, head, np.array([a for a, _ in grid]), _coefficient_schema(design, own), as_rows)
 
 
 def fit(design: DataFrame, keys: list[str], heads: tuple[str, ...]) -> DataFrame:
