@@ -194,6 +194,31 @@ def fit(design: DataFrame, keys: list[str], heads: tuple[str, ...]) -> DataFrame
     return out
 
 
+def optimality(design: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:
+    """How far each candidate of a linear head is from its optimum, per key and fold.
+
+    own keys, CANDIDATE, row_count and violation: the largest absolute entry of the gradient of
+    the head's objective over the fit rows; for the elastic net, of the least subgradient.
+    """
+    own = [*keys, "fold"]
+    rows = design.filter("role = 'fit' AND size(x) > 0").select(*own, "x", "y")
+    scale = rows.groupBy(*own).agg(F.stddev_pop("y").alias("deviation"), F.count(F.lit(1)).alias("row_count"))
+    delta = F.lit(1.345) * F.greatest(F.col("deviation"), F.lit(1e-12))
+    error = F.col("y") - F.col("intercept") - dot("x", "coefficients")
+    pull = F.when(F.col("model_name") == "huber", F.least(F.greatest(error, -delta), delta)).otherwise(error)
+    slopes = (
+        rows.join(scale, own)
+        .join(coefficients, own)
+        .select(*own, *CANDIDATE, "row_count", "coefficients", pull.alias("pull"), F.posexplode("x").alias("j", "v"))
+        .groupBy(*own, *CANDIDATE, "row_count", "j")
+        .agg(F.avg(-F.col("pull") * F.col("v")).alias("slope"), F.any_value(F.get("coefficients", F.col("j"))).alias("b"))
+    )
+    lasso = F.col("alpha") * F.coalesce("l1_ratio", F.lit(0.0))
+    smooth = F.col("slope") + (F.col("alpha") - lasso) * F.col("b")
+    least = F.when(F.col("b") != 0, F.abs(smooth + lasso * F.signum("b"))).otherwise(F.greatest(F.abs(smooth) - lasso, F.lit(0.0)))
+    return slopes.groupBy(*own, *CANDIDATE, "row_count").agg(F.max(least).alias("violation"))
+
+
 def predicted(rows: DataFrame) -> Column:
     """Prediction of a row joined with its coefficients; a probability for the logistic head."""
     level = F.col("intercept") + dot("x", "coefficients")
