@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from tapeweave.functions.vectors import (
     SMALL_NORM,
     Moments,
     cosine,
+    dot,
     minus,
     moments,
     norm,
@@ -165,11 +166,12 @@ def with_distances(stats: DataFrame) -> DataFrame:
 
 # --- pairwise cosines ---------------------------------------------------------------------
 
+#: Rows of a block; a group of so many blocks is cut along so many fixed directions at most.
 BLOCK_ROWS = 256
-#: Precondition of all-pairs order statistics: a group (a validation window, a history block,
-#: a calendar) has no more rows. Means and spreads have a closed form for any size.
-MOST_PAIRED_ROWS = 50_000
+MOST_CUTS = 16
 BINS = 4096
+#: What rounding may add to a cosine: bounds are widened by it.
+SLACK = 1e-9
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -190,27 +192,128 @@ def _bin_of(values: np.ndarray) -> np.ndarray:
     return np.clip(((values + 1.0) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
 
 
-def block_pairs(rows: DataFrame, keys: list[str], row_id: str, vector: str) -> DataFrame:
-    """Pairs of row blocks of each key: the unit of work for all-pairs statistics.
+def _sides(x: np.ndarray, cuts: int) -> np.ndarray:
+    """On which side of `cuts` fixed random planes each row lies, as a number."""
+    planes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], MOST_CUTS))[:, :cuts]
+    return ((x @ planes) > 0) @ (1 << np.arange(cuts))
 
-    Blocks hold about BLOCK_ROWS rows each, so no task sees a whole group, and pairs of
-    rows exist only inside a block product. A group above MOST_PAIRED_ROWS is an error.
+
+def row_blocks(rows: DataFrame, keys: list[str], row_id: str, vector: str) -> DataFrame:
+    """Blocks of neighbouring rows of each key: keys, row_block, n, centre, radius, vectors.
+
+    Rows on the same sides of fixed planes are neighbours; more than BLOCK_ROWS of them are
+    dealt by hash, so no block holds a whole group whatever its size. centre is a unit
+    vector, radius the largest angle from it. Rows without length are blocks of their own,
+    without a centre.
     """
-    n = F.count(F.lit(1))
-    too_many = F.raise_error(F.lit(f"all-pairs statistics of a group above {MOST_PAIRED_ROWS} rows")).cast("int")
-    blocks = F.when(n > MOST_PAIRED_ROWS, too_many).otherwise(F.ceil(n / BLOCK_ROWS).cast("int"))
-    sizes = rows.groupBy(*keys).agg(blocks.alias("block_count"))
-    placed = rows.join(sizes, keys).select(
-        *keys,
-        "block_count",
-        F.pmod(F.xxhash64(row_id), F.col("block_count")).cast("int").alias("row_block"),
-        F.col(vector).alias("v"),
+    size = rows.groupBy(*keys).agg(
+        F.least(F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))), F.lit(0)), F.lit(MOST_CUTS)).cast("int").alias("cuts")
+    )
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            side = np.zeros(len(batch), dtype=np.int64)
+            for (_, cuts), at in batch.groupby([batch["v"].map(len), "cuts"]).indices.items():
+                x = _unit_rows(batch["v"].iloc[at])
+                side[at] = np.where(x.any(axis=1), _sides(x, int(cuts)), -1)
+            yield batch.assign(side=side).drop(columns="cuts")
+
+    source = rows.select(*keys, F.xxhash64(row_id).alias("spot"), F.col(vector).cast("array<double>").alias("v")).join(size, keys)
+    longs, vectors = T.LongType(), T.ArrayType(T.DoubleType())
+    schema = T.StructType([*_key_fields(rows, keys), T.StructField("spot", longs), T.StructField("v", vectors), T.StructField("side", longs)])
+    sided = source.mapInPandas(placed, schema)
+    shares = sided.groupBy(*keys, "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("shares"))
+    name = F.struct("side", F.pmod("spot", F.col("shares")).alias("share"))
+    blocks = sided.join(shares, [*keys, "side"]).groupBy(*keys, name.alias("name")).agg(F.collect_list("v").alias("vectors"))
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            centres, radii = [], []
+            for block in batch["vectors"]:
+                x = _unit_rows(block)
+                middle = x.sum(axis=0)
+                length = np.linalg.norm(middle)
+                # Without a direction of its own a block takes its first row's.
+                centre = middle / length if length > 1e-6 else x[0]
+                centres.append(centre if x.any() else None)
+                radii.append(float(np.arccos(np.clip((x @ centre).min(), -1.0, 1.0))))
+            yield batch.assign(n=batch["vectors"].map(len), centre=centres, radius=radii)
+
+    described_schema = T.StructType(
+        [
+            *_key_fields(rows, keys),
+            T.StructField("row_block", longs),
+            T.StructField("vectors", T.ArrayType(vectors)),
+            T.StructField("n", longs),
+            T.StructField("centre", vectors),
+            T.StructField("radius", T.DoubleType()),
+        ]
     )
-    blocks = placed.groupBy(*keys, "block_count", "row_block").agg(F.collect_list("v").alias("vectors"))
-    partners = F.explode(F.sequence(F.col("row_block"), F.col("block_count") - 1)).alias("other_block")
-    left = blocks.select(*keys, "row_block", F.col("vectors").alias("left"), partners)
+    numbered = blocks.select(*keys, (F.col("name.side") * (1 << 32) + F.col("name.share")).alias("row_block"), "vectors")
+    return spread(numbered).mapInPandas(described, described_schema)
+
+
+def block_bounds(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of blocks of each key: how many pairs of rows they make, and least and greatest cosine that those can have.
+
+    Of blocks whose centres are t apart, with radii r and s, rows are t - r - s to t + r + s apart.
+    """
+    a = blocks.select(*keys, "row_block", F.col("n").alias("n_a"), F.col("centre").alias("c_a"), F.col("radius").alias("r_a"))
+    b = blocks.select(
+        *keys, F.col("row_block").alias("other_block"), F.col("n").alias("n_b"), F.col("centre").alias("c_b"), F.col("radius").alias("r_b")
+    )
+    same = F.col("row_block") == F.col("other_block")
+    apart = F.when(same, F.lit(0.0)).otherwise(F.acos(F.least(F.greatest(dot("c_a", "c_b"), F.lit(-1.0)), F.lit(1.0))))
+    wide = F.col("r_a") + F.col("r_b")
+    flat = F.col("c_a").isNull() | F.col("c_b").isNull()
+    least = F.when(flat, F.lit(0.0)).otherwise(F.cos(F.least(apart + wide, F.lit(float(np.pi))))) - SLACK
+    greatest = F.when(flat, F.lit(0.0)).otherwise(F.cos(F.greatest(apart - wide, F.lit(0.0)))) + SLACK
+    count = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    pairs = spread(a.join(b, keys).filter("row_block <= other_block"))
+    return pairs.select(*keys, "row_block", "other_block", count.alias("count"), least.alias("least"), greatest.alias("greatest")).filter("count > 0")
+
+
+def bin_column(value: Column) -> Column:
+    return F.least(F.greatest(F.floor((value + 1.0) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1)).cast("int")
+
+
+def straddling(bounds: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(block pairs to multiply, counts of the rest) for median, minimum and maximum of each key's cosines.
+
+    The middle values lie between the first bin that the least cosines can reach the rank in
+    and the first in which the greatest must have. Block pairs outside that range, which hold
+    neither the smallest nor the largest value, are only counted: below says how many of their
+    pairs lie under the range.
+    """
+    binned = bounds.withColumn("low_bin", bin_column(F.col("least"))).withColumn("high_bin", bin_column(F.col("greatest")))
+    whole = binned.groupBy(*keys).agg(
+        F.sum("count").alias("pair_count"), F.max("least").alias("max_is_over"), F.min("greatest").alias("min_is_under")
+    )
+    lower, upper = F.floor((F.col("pair_count") - 1) / 2), F.floor(F.col("pair_count") / 2)
+
+    def first_over(bin_name: str, rank: Column, name: str) -> DataFrame:
+        upto = F.sum("count").over(Window.partitionBy(*keys).orderBy("bin"))
+        sums = binned.groupBy(*keys, F.col(bin_name).alias("bin")).agg(F.sum("count").alias("count"))
+        reached = sums.withColumn("upto", upto).join(whole, keys).filter(F.col("upto") > rank)
+        return reached.groupBy(*keys).agg(F.min("bin").alias(name))
+
+    limits = whole.join(first_over("low_bin", lower, "from_bin"), keys).join(first_over("high_bin", upper, "to_bin"), keys)
+    placed = binned.join(limits, keys)
+    wanted = (
+        ((F.col("high_bin") >= F.col("from_bin")) & (F.col("low_bin") <= F.col("to_bin")))
+        | (F.col("greatest") >= F.col("max_is_over"))
+        | (F.col("least") <= F.col("min_is_under"))
+    )
+    below = F.sum(F.when(~wanted & (F.col("high_bin") < F.col("from_bin")), F.col("count")).otherwise(F.lit(0)))
+    counted = placed.groupBy(*keys, "pair_count").agg(below.alias("below"), F.count_if(wanted).alias("multiplied"), F.count(F.lit(1)).alias("block_pairs"))
+    return placed.filter(wanted).select(*keys, "row_block", "other_block"), counted
+
+
+def block_pairs(blocks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The vectors of wanted pairs of blocks: the unit of work that is multiplied."""
+    left = blocks.select(*keys, "row_block", F.col("vectors").alias("left"))
     right = blocks.select(*keys, F.col("row_block").alias("other_block"), F.col("vectors").alias("right"))
-    return spread(left.join(right, [*keys, "other_block"]))
+    return spread(wanted.join(left, [*keys, "row_block"]).join(right, [*keys, "other_block"]))
 
 
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
@@ -259,16 +362,21 @@ def cosine_histogram(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pairwise_order_stats(rows: DataFrame, keys: list[str], row_id: str, vector: str) -> DataFrame:
-    """Exact median, minimum and maximum of all pairwise cosines of each key.
+    """Exact median, minimum and maximum of all pairwise cosines of each key, whatever its size.
 
-    The histogram finds the bins that hold the middle values; a second pass over the same
-    blocks returns only the values of those bins, tied values counted.
+    Bounds on the cosines between blocks leave the block pairs that can hold one of these
+    values (see straddling); only those are multiplied, in a histogram that finds the bins of
+    the middle values. A second pass returns only the values of those bins, tied values
+    counted.
     """
-    pairs = block_pairs(rows, keys, row_id, vector)
+    blocks = written(row_blocks(rows, keys, row_id, vector), "row-blocks")
+    wanted, counted = straddling(written(block_bounds(blocks, keys), "block-bounds"), keys)
+    counted = written(counted, "counted-blocks")
+    pairs = block_pairs(blocks, wanted, keys)
     bins = written(cosine_histogram(pairs, keys), "cosine-bins")
     upto = F.sum("pairs").over(Window.partitionBy(*keys).orderBy("bin"))
-    whole = F.sum("pairs").over(Window.partitionBy(*keys))
-    ranked = bins.select("*", (upto - F.col("pairs")).alias("before"), whole.alias("pair_count"))
+    # What was only counted below comes before every bin of the range; the middle values are in it.
+    ranked = bins.join(counted, keys).select(*bins.columns, "pair_count", (F.col("below") + upto - F.col("pairs")).alias("before"))
     lower, upper = F.floor((F.col("pair_count") - 1) / 2), F.floor(F.col("pair_count") / 2)
 
     def inside(rank):

@@ -272,8 +272,31 @@ def test_classification_point_estimates(spark):
         assert got[key].roc_auc == pytest.approx(wins) and got[key].brier_score_difference_vs_hand == pytest.approx(brier)
 
 
-def test_all_pairs_statistics_refuse_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(geometry, "MOST_PAIRED_ROWS", 10)
-    rows = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(11)], "k int, id int, v array<double>")
-    with pytest.raises(Exception, match="all-pairs statistics"):
-        geometry.pairwise_order_stats(rows, ["k"], "id", "v")
+def test_all_pairs_statistics_multiply_few_blocks(spark, monkeypatch):
+    """Rows in tight bundles: exact order statistics from a part of the block pairs, at any group size."""
+    monkeypatch.setattr(geometry, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 6))
+    x = np.repeat(centres, 120, axis=0) + 0.01 * rng.normal(size=(480, 6))
+    x[5] = 0.0
+    rows = spark.createDataFrame([("k", i, [float(v) for v in r]) for i, r in enumerate(x)], "k string, id int, v array<double>").repartition(5)
+    rows = rows.unionByName(spark.createDataFrame([("one", 1, [1.0, 0.0])], rows.schema))
+    got = geometry.pairwise_order_stats(rows, ["k"], "id", "v").collect()
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    c = (u @ u.T)[np.triu_indices(len(u), 1)]
+    assert [r.k for r in got] == ["k"] and got[0].pair_count == len(c)
+    np.testing.assert_allclose(
+        [got[0].similarity_median, got[0].similarity_min, got[0].similarity_max], [np.median(c), c.min(), c.max()], atol=1e-12
+    )
+    blocks = geometry.row_blocks(rows, ["k"], "id", "v").cache()
+    bounds = geometry.block_bounds(blocks, ["k"])
+    wanted, counted = geometry.straddling(bounds, ["k"])
+    row = counted.first()
+    assert row.multiplied == wanted.count() < 0.8 * row.block_pairs
+    assert max(r.n for r in blocks.collect()) <= 40
+    held = {r.row_block: [np.array(v) for v in r.vectors] for r in blocks.filter("k = 'k'").collect()}
+    for r in bounds.collect():  # every product is within its bounds
+        a, b = (geometry._unit_rows(held[k]) for k in (r.row_block, r.other_block))
+        products = (a @ b.T)[np.triu_indices(len(a), 1)] if r.row_block == r.other_block else (a @ b.T).ravel()
+        assert len(products) == r["count"] and r.least <= products.min() and products.max() <= r.greatest
