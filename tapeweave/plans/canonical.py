@@ -705,7 +705,7 @@ FORWARD = {
     "g3_future_max_drawdown": "future_max_drawdown_{h}d",
     "g4_future_trend_score": "future_trend_score_{h}d",
 }
-SHORT_HORIZONS = (5, 21)
+ALL_TARGETS = [form.format(h=h) for h in targets.TARGET_HORIZONS for form in FORWARD.values()]
 
 
 def _forward_query(name: str, form: str) -> None:
@@ -726,20 +726,18 @@ def _forward_query(name: str, form: str) -> None:
 for _name, _form in FORWARD.items():
     _forward_query(_name, _form)
 
-SHORT_TARGETS = [form.format(h=h) for h in SHORT_HORIZONS for form in FORWARD.values()]
-
 
 @query(
     "g5_all_symbol_targets",
     with_tables(
-        f"SELECT date, symbol, {', '.join(r6(c, c) for c in SHORT_TARGETS)}, uses_future_data "
-        f"FROM ({targets_sql(SHORT_HORIZONS, None)})",
+        f"SELECT date, symbol, {', '.join(r6(c, c) for c in ALL_TARGETS)}, uses_future_data "
+        f"FROM ({targets_sql(targets.TARGET_HORIZONS, None)})",
         "feats",
     ),
 )
 def g5_all_symbol_targets(spark: SparkSession, sf: str) -> DataFrame:
-    outcomes = targets.future_targets(tables.ticker_features(spark, sf), None, SHORT_HORIZONS)
-    return rounded(outcomes.select("date", "symbol", *SHORT_TARGETS, "uses_future_data"))
+    outcomes = targets.future_targets(tables.ticker_features(spark, sf), None)
+    return rounded(outcomes.select("date", "symbol", *ALL_TARGETS, "uses_future_data"))
 
 
 # --- H: checks ---------------------------------------------------------------------------------
@@ -808,15 +806,26 @@ AUDITED = {
 }
 
 
+#: Future columns that probes declare; every other one of the target table is a finding.
+DECLARED = [form.format(h=h) for h in (5, 21) for form in FORWARD.values()]
+UNDECLARED = [c for c in ALL_TARGETS if c not in DECLARED]
+
+
 @query(
     "h4_schema_audit",
-    "SELECT 'forbidden' AS finding, 'embeddings' AS table_name, 'label' AS column_name, "
-    "(SELECT count(label) FROM embeddings) AS known_values "
-    "UNION ALL SELECT 'missing', 'events', 'available_asof', NULL "
-    + " ".join(
-        f"UNION ALL SELECT 'measure', '{table}', '{column}', (SELECT count({column}) FROM {table})"
-        for table, columns in AUDITED.items()
-        for column in columns
+    with_tables(
+        "SELECT 'forbidden' AS finding, 'embeddings' AS table_name, 'label' AS column_name, "
+        "(SELECT count(label) FROM embeddings) AS known_values "
+        "UNION ALL SELECT 'missing', 'events', 'available_asof', NULL "
+        + " ".join(
+            f"UNION ALL SELECT 'measure', '{table}', '{column}', (SELECT count({column}) FROM {table})"
+            for table, columns in AUDITED.items()
+            for column in columns
+        )
+        + f" UNION ALL SELECT 'undeclared_future', 'market_targets', column_name, known_values FROM (SELECT "
+        + ", ".join(f"count({c}) AS {c}" for c in UNDECLARED)
+        + f" FROM ({targets_sql(targets.TARGET_HORIZONS, src.MARKET_SYMBOL)})) UNPIVOT (known_values FOR column_name IN ({', '.join(UNDECLARED)}))",
+        "feats",
     ),
 )
 def h4_schema_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -835,8 +844,12 @@ def h4_schema_audit(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(finding("missing", quality.missing_columns(schema, required)))
         .unionByName(finding("measure", quality.measure_catalog(schema)))
     )
+    outcomes = {"market_targets": tables.market_targets(spark, sf)}
+    found = found.unionByName(
+        finding("undeclared_future", quality.undeclared_future_columns(quality.schema_rows(outcomes), DECLARED))
+    )
     counts = None
-    for name, df in frames.items():
+    for name, df in {**frames, **outcomes}.items():
         one = (
             df.agg(*[F.count(c).alias(c) for c in df.columns])
             .unpivot([], df.columns, "column_name", "known_values")

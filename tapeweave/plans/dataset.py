@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,32 +298,72 @@ def i7_feature_manifest(spark: SparkSession, sf: str) -> DataFrame:
 GROUP_TABLES = {"asset": "feats", "market": "features", "macro": "features"}
 
 
+#: What a row of each group's table is keyed by; date groups have no symbol.
+SYMBOL = {"asset": "symbol", "market": "CAST(NULL AS VARCHAR)", "macro": "CAST(NULL AS VARCHAR)"}
+
+
+def group_rows(spark: SparkSession, sf: str, group: str) -> DataFrame:
+    """The rows that a group's features are taken from, with a symbol that is null for date groups."""
+    if group == "asset":
+        return t.panel_table(spark, sf)
+    return t.features_table(spark, sf).withColumn("symbol", F.lit(None).cast("string"))
+
+
+def over_groups(one: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows of one(group) of all groups, with input_group."""
+    parts = [one(group).select(F.lit(group).alias("input_group"), "*") for group in GROUP_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "j1_feature_validity",
     with_tables(
-        "SELECT symbol, "
-        + ", ".join(f"count(*) FILTER (({_value(f)}) IS NOT NULL) AS {f.name}" for f in t.feature_list("asset"))
-        + " FROM feats GROUP BY symbol",
+        " UNION ALL ".join(
+            f"SELECT '{g}' AS input_group, {SYMBOL[g]} AS symbol, '{f.name}' AS feature_name, "
+            f"count(*) FILTER (({_value(f)}) IS NOT NULL) AS valid_count FROM {table} GROUP BY ALL"
+            for g, table in GROUP_TABLES.items()
+            for f in t.feature_list(g)
+        ),
         "feats",
+        "features",
     ),
 )
 def j1_feature_validity(spark: SparkSession, sf: str) -> DataFrame:
-    valid = [F.count_if(normalize.is_valid(f)).alias(f.name) for f in t.feature_list("asset")]
-    return t.panel_table(spark, sf).groupBy("symbol").agg(*valid)
+    """How many rows of each symbol (asset group) or of all dates have a valid value, by feature."""
+
+    def one(group: str) -> DataFrame:
+        names = [f.name for f in t.feature_list(group)]
+        valid = [F.count_if(normalize.is_valid(f)).alias(f.name) for f in t.feature_list(group)]
+        counted = group_rows(spark, sf, group).groupBy("symbol").agg(*valid)
+        return counted.unpivot(["symbol"], names, "feature_name", "valid_count")
+
+    return over_groups(one)
 
 
 @query(
     "j2_transformed_values",
     with_tables(
-        "SELECT date, symbol, "
-        + ", ".join(r6(_value(f), f.name) for f in t.feature_list("asset"))
-        + " FROM feats WHERE valid_observation",
+        " UNION ALL ".join(
+            f"SELECT '{g}' AS input_group, date, {SYMBOL[g]} AS symbol, '{f.name}' AS feature_name, {r6(_value(f), 'value')} "
+            f"FROM {table}{' WHERE valid_observation' if g == 'asset' else ''}"
+            for g, table in GROUP_TABLES.items()
+            for f in t.feature_list(g)
+        ),
         "feats",
+        "features",
     ),
 )
 def j2_transformed_values(spark: SparkSession, sf: str) -> DataFrame:
-    values = [normalize.transformed(f).alias(f.name) for f in t.feature_list("asset")]
-    return rounded(t.panel_table(spark, sf).filter("valid_observation").select("date", "symbol", *values))
+    """Transformed values of every feature of all groups, one row a value."""
+
+    def one(group: str) -> DataFrame:
+        rows = group_rows(spark, sf, group)
+        rows = rows.filter("valid_observation") if group == "asset" else rows
+        names = [f.name for f in t.feature_list(group)]
+        values = [normalize.transformed(f).cast("double").alias(f.name) for f in t.feature_list(group)]
+        return rows.select("date", "symbol", *values).unpivot(["date", "symbol"], names, "feature_name", "value")
+
+    return rounded(over_groups(one))
 
 
 def _fit_sql(columns: list[str]) -> str:
@@ -373,12 +416,41 @@ def facts_sql(group: str, keys: list[str], source: str | None = None) -> str:
     return f"SELECT {ids}, {values} FROM {source or group + '_facts'}"
 
 
+def long_facts(df: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Facts as one row a value: feature_name, value, valid."""
+    each = [
+        F.struct(F.lit(n).alias("feature_name"), F.round(F.col(n).cast("double"), 6).alias("value"), F.col(f"{n}__valid").alias("valid"))
+        for n in t.feature_names(group)
+    ]
+    return df.select(*keys, F.explode(F.array(*each)).alias("_fact")).select(*keys, "_fact.*")
+
+
+def long_facts_sql(groups: list[str], keys: list[str], keyless: dict[str, str] = {}) -> str:
+    ids = {k: f"CAST({k} AS INTEGER) AS {k}" if k in ("date_idx", "asset_id") else k for k in keys}
+    return with_tables(
+        " UNION ALL ".join(
+            f"SELECT '{g}' AS input_group, {', '.join(keyless.get(k, ids[k]) if g != 'asset' else ids[k] for k in keys)}, "
+            f"'{n}' AS feature_name, round(CAST({n} AS DOUBLE), 6) AS value, {n}__valid AS valid FROM {g}_facts"
+            for g in groups
+            for n in t.feature_names(g)
+        ),
+        *[f"{g}_facts" for g in groups],
+    )
+
+
 @query(
     "j5_normalized_values",
-    with_tables(facts_sql("macro", ["split", "date", "date_idx"]), "macro_facts"),
+    long_facts_sql(list(GROUP_TABLES), ["split", "date", "date_idx", "asset_id"], {"asset_id": "CAST(NULL AS INTEGER) AS asset_id"}),
 )
 def j5_normalized_values(spark: SparkSession, sf: str) -> DataFrame:
-    return facts_out(t.build_facts(spark, sf, "macro"), ["split", "date", "date_idx"], "macro")
+    """Normalized values of all groups, one row a value; date groups have no asset."""
+
+    def one(group: str) -> DataFrame:
+        facts = t.build_facts(spark, sf, group)
+        facts = facts if group == "asset" else facts.withColumn("asset_id", F.lit(None).cast("int"))
+        return long_facts(facts, ["split", "date", "date_idx", "asset_id"], group)
+
+    return over_groups(one)
 
 
 # --- K: facts -------------------------------------------------------------------------------
@@ -392,9 +464,13 @@ def k1_asset_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_out(t.build_facts(spark, sf, "asset"), ASSET_KEYS, "asset")
 
 
-@query("k2_date_facts", with_tables(facts_sql("market", DATE_KEYS), "market_facts"))
+@query("k2_date_facts", long_facts_sql(["market", "macro"], DATE_KEYS))
 def k2_date_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return facts_out(t.build_facts(spark, sf, "market"), DATE_KEYS, "market")
+    """Market and macro facts, one row a value."""
+    parts = [
+        long_facts(t.build_facts(spark, sf, g), DATE_KEYS, g).select(F.lit(g).alias("input_group"), "*") for g in ("market", "macro")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -443,29 +519,31 @@ def k4_manifest_contract(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.manifest_contract(t.date_manifest(spark, sf))
 
 
+FACT_KEYS = {"asset": ["split", "date_idx", "asset_id"], "market": ["split", "date_idx"], "macro": ["split", "date_idx"]}
+
+
 @query(
     "k5_fact_key_checks",
     with_tables(
-        """SELECT 'duplicate_asset_keys' AS check_name, count(*) AS offending_rows FROM
-          (SELECT 1 FROM asset_facts GROUP BY split, date_idx, asset_id HAVING count(*) > 1)
-        UNION ALL SELECT 'duplicate_macro_dates', count(*) FROM
-          (SELECT 1 FROM macro_facts GROUP BY split, date_idx HAVING count(*) > 1)
-        UNION ALL SELECT 'shared_split_dates', count(*) FROM (
-          SELECT DISTINCT date FROM asset_facts WHERE split = 'train' INTERSECT
-          SELECT DISTINCT date FROM asset_facts WHERE split = 'validation')""",
-        "asset_facts",
-        "macro_facts",
+        " UNION ALL ".join(
+            f"""SELECT 'duplicate_{g}_keys' AS check_name, count(*) AS offending_rows FROM
+              (SELECT 1 FROM {g}_facts GROUP BY {', '.join(keys)} HAVING count(*) > 1)
+            UNION ALL SELECT 'shared_{g}_split_dates', count(*) FROM (
+              SELECT DISTINCT date FROM {g}_facts WHERE split = 'train' INTERSECT
+              SELECT DISTINCT date FROM {g}_facts WHERE split = 'validation')"""
+            for g, keys in FACT_KEYS.items()
+        ),
+        *[f"{g}_facts" for g in FACT_KEYS],
     ),
 )
 def k5_fact_key_checks(spark: SparkSession, sf: str) -> DataFrame:
-    facts = t.asset_facts(spark, sf)
-    return quality.check_counts(
-        {
-            "duplicate_asset_keys": quality.duplicate_keys(facts, ["split", "date_idx", "asset_id"]),
-            "duplicate_macro_dates": quality.duplicate_keys(t.macro_facts(spark, sf), ["split", "date_idx"]),
-            "shared_split_dates": normalize.shared_split_dates(facts),
-        }
-    )
+    """Repeated keys and dates in both splits, for the facts of each group."""
+    checks = {}
+    for group, keys in FACT_KEYS.items():
+        facts = t.FACTS[group](spark, sf)
+        checks[f"duplicate_{group}_keys"] = quality.duplicate_keys(facts, keys)
+        checks[f"shared_{group}_split_dates"] = normalize.shared_split_dates(facts)
+    return quality.check_counts(checks)
 
 
 @query(
