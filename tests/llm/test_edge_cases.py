@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tapeweave.llm import decontam, exact_dedup, htmltext, jaccard, language, licenses, packing, quality, sharding, toxicity
+from tapeweave.llm import decontam, exact_dedup, htmltext, jaccard, language, licenses, packing, quality, secrets, sharding, spelling, toxicity
 
 
 def by_id(df):
@@ -34,6 +34,8 @@ OPERATORS = {
     "toxicity": lambda d: toxicity.scored(d, labels(d.sparkSession)),
     "jaccard": jaccard.joined,
     "license": licenses.license_scan,
+    "secrets": secrets.secrets,
+    "spelling": spelling.variants,
 }
 
 
@@ -73,6 +75,17 @@ def test_contaminated(odd_documents):
     assert [r.item_id for r in out[7]] == [None]
 
 
+def test_contaminated_by_an_empty_benchmark(odd_documents):
+    none = benchmark(odd_documents.sparkSession).limit(0)
+    assert decontam.contaminated(odd_documents, none).collect() == []
+
+
+def test_spelling(odd_documents):
+    found = {r.word: r for r in spelling.variants(odd_documents).collect()}
+    assert found["river"].n == 5 and found["river"].root == "river" and "word" not in found
+    assert all(r.form is None and r.form_n is None for r in found.values())
+
+
 def test_language(odd_documents):
     out = by_id(language.identify(odd_documents))
     assert all(r.lang_pred == "und" and r.score == 0 for i in (4, 5, 9) for r in out[i])
