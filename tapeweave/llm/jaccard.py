@@ -10,8 +10,9 @@ moves cost, never results, as every set uses the same order and every candidate
 on its full set.
 
 A list is not expanded into its pairs. First its members are compared with one hub, the
-member with the fewest rarer shingles; the components of those links leave few lists with
-several components, and only pairs across components are compared after that.
+member with the fewest rarer shingles, which is all that a list of two needs; the components
+of those links leave few longer lists with several components, and only pairs across
+components are compared after that.
 """
 
 from __future__ import annotations
@@ -273,21 +274,39 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
+def with_hub(lists: DataFrame) -> DataFrame:
+    """The lists with their number of members, their hub, the member that has the fewest rarer shingles, and the last one.
+
+    The three are combined before the shuffle, so a key of any size is one small row.
+    """
+    member = F.struct("place", "node", "n")
+    return lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("b"), F.max(member).alias("a"))
+
+
+def pairs_of_two(ends: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of lists with two members: hub and last one are the list."""
+    return _pairs(ends.filter("members = 2 AND a.node != b.node").filter(_linkable("a", "b", percent)))
+
+
+def long_lists(lists: DataFrame, ends: DataFrame) -> DataFrame:
+    """(key, node, n, place, hub) of the members of lists with more than two."""
+    return lists.join(ends.filter("members > 2").select("key", F.col("b").alias("hub")), "key")
+
+
 def hub_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each member of a list with the member that has the fewest rarer shingles."""
-    hubs = lists.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("hub"))
-    hubs = hubs.select("key", "hub.place", "hub.node", "hub.n")
-    joined = lists.alias("a").join(hubs.alias("b"), "key").filter(F.col("a.node") != F.col("b.node"))
-    return _pairs(joined.filter(_linkable("a", "b", percent)))
+    """Each member of a long list with its hub."""
+    both = lists.select(F.struct("place", "node", "n").alias("a"), F.col("hub").alias("b")).filter("a.node != b.node")
+    return _pairs(both.filter(_linkable("a", "b", percent)))
 
 
 def crossing_pairs(lists: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of list members that are in different components so far.
+    """Pairs of members of a long list that are in different components so far, without its hub.
 
-    One side of such a pair is outside its list's component of the smallest node, so only
-    those members are paired with all others.
+    One side of such a pair is outside its list's component of most members, so only those
+    members are paired with all others. Pairs with the hub were compared before.
     """
-    known = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    others = lists.filter("node != hub.node").drop("hub")
+    known = others.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     largest = sizes.groupBy("key").agg(
         F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")
@@ -384,7 +403,10 @@ def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     posted = written(shared_keys(docs, sketch, boundary, width, percent), "shared-keys")
     lists = posted.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("key", "node", "n", "place")
     lists = written(lists, "lists")
-    links = linked_pairs(docs, classes, hub_pairs(lists, percent), width, percent)
+    ends = written(with_hub(lists), "list-ends")
+    lists = written(long_lists(lists, ends), "long-lists")
+    first = pairs_of_two(ends, percent).unionByName(hub_pairs(lists, percent)).distinct()
+    links = linked_pairs(docs, classes, first, width, percent)
     more = linked_pairs(docs, classes, crossing_pairs(lists, components(links), percent), width, percent)
     found = components(links.unionByName(more))
 
