@@ -190,12 +190,11 @@ def a6_configured_series(spark: SparkSession, sf: str) -> DataFrame:
 def a7_current_universes(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "universes")
     parts = src.table(spark, sf, "part").select(
-        F.concat(F.lit("P."), F.col("p_partkey")).alias("symbol"), F.col("p_name").alias("name"), "p_type"
+        F.concat(F.lit("P."), F.col("p_partkey")).alias("symbol"),
+        F.col("p_name").alias("name"),
+        F.lower("p_type").alias("universe_name"),
     )
-    for row in parts.select("p_type").distinct().collect():  # a handful of part types, one file each
-        parts.filter(F.col("p_type") == row.p_type).drop("p_type").write.option("header", True).csv(
-            f"{root}/{row.p_type.lower()}_current.csv"
-        )
+    text.write_universes(parts, root, "current")
     return text.read_current_universes(spark, root).drop("source_file")
 
 

@@ -241,12 +241,24 @@ def read_macro_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     )
 
 
+#: Column by which lists of several universes are written at once; readers skip it in names.
+UNIVERSE_FILE = "universe_file"
+
+
+def write_universes(rows: DataFrame, root: str, kind: str) -> None:
+    """One list per universe_name of the rows, all in one write; kind is current or changes."""
+    named = rows.withColumn(UNIVERSE_FILE, F.concat("universe_name", F.lit(f"_{kind}.csv"))).drop("universe_name")
+    named.write.partitionBy(UNIVERSE_FILE).option("header", True).csv(root)
+
+
 def _universe_files(spark: SparkSession, root: str, kind: str, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in columns)
     files = spark.read.schema(schema).option("header", True).csv(f"{root}/*_{kind}.csv")
+    # The path is a URI: blanks and other characters of a name come escaped, a plus sign does not.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns],
-        F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)_{kind}\.csv", 1).alias("universe_name"),
+        F.regexp_extract(path, rf"(?:{UNIVERSE_FILE}=)?([^/]+)_{kind}\.csv", 1).alias("universe_name"),
         F.col("_metadata.file_path").alias("source_file"),
     )
 

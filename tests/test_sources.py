@@ -104,3 +104,11 @@ def test_entry_and_registry(spark, sf):
     out = entry_point.entry(spark)
     assert out.columns == ["date", "xs_dispersion_1d", "xs_iqr_1d", "breadth_1d", "pct_above_ma_63d", "n_assets"]
     assert out.count() > 2000
+
+
+def test_universes_of_one_write_are_read_by_name(spark, tmp_path):
+    root = str(tmp_path / "lists")
+    rows = [("A", "Alpha, Inc", "large cap"), ("B", "Beta", "small_cap"), ("C", "", "large cap")]
+    text.write_universes(spark.createDataFrame(rows, "symbol string, name string, universe_name string"), root, "current")
+    got = {(r.symbol, r.name, r.universe_name) for r in text.read_current_universes(spark, root).collect()}
+    assert got == set(rows)
