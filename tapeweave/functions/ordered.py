@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeweave.session import written
+
 ROWS_PER_BUCKET = 500_000
 MOST_BUCKETS = 1024
 BUCKET = "_bucket"
@@ -183,3 +185,21 @@ def lowest_by_hash(df: DataFrame, keys: list[str], digest: str, cap: int) -> Dat
         near.filter(whole).select(*df.columns)
         .unionByName(ranked.filter(F.col("_rank") <= cap - F.col("_earlier")).select(*df.columns))
     )
+
+
+def with_positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 0 and gapless, in the order of columns of any sortable type.
+
+    Rows are dealt by ranges and numbered inside theirs. The ranges are written once, so that
+    a repeated task cannot deal them anew; of each only its size is combined across them and
+    broadcast.
+    """
+    part, at = "_part", "_at"
+    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    dealt = written(ranged, "positions")
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    placed = dealt.withColumn(at, inside).join(F.broadcast(starts), part)
+    return placed.withColumn(name, F.col("_start") + F.col(at)).drop(part, at, "_start")

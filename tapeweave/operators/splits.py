@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import any_of
+from tapeweave.functions.ordered import with_positions
 
 
 def date_spine(dates: DataFrame, context_start: str, sample_end: str | None = None) -> DataFrame:
@@ -131,8 +132,8 @@ def asset_manifest(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     n = F.coalesce("_n", F.lit(0))
-    return chosen.join(counts, "symbol", "left").select(
-        (F.row_number().over(Window.orderBy("symbol")) - 1).alias("asset_id"),
+    return with_positions(chosen.join(counts, "symbol", "left"), ["symbol"], "asset_id").select(
+        F.col("asset_id").cast("int").alias("asset_id"),
         *chosen.columns,
         n.alias("valid_train_observations"),
         (n >= minimum).alias("trainable"),

@@ -74,3 +74,14 @@ def test_constant_sides_score_zero(spark):
     frame = pd.DataFrame({"k": ["a"] * 4, "actual": [1.0, 1.0, 1.0, 1.0], "prediction": [1.0, 2.0, 3.0, None]})
     row = metrics.full_regression_metrics(spark.createDataFrame(frame), ["k"]).first()
     assert (row.scored_count, row.r2, row.pearson_correlation, row.spearman_correlation) == (3, 0.0, 0.0, 0.0)
+
+
+def test_positions_follow_the_order_of_strings(spark):
+    names = [f"{c}{i}" for c in "Zaä" for i in range(150)] + ["", "Z", "é"]
+    frame = spark.createDataFrame([(n, len(n)) for n in reversed(names)], "name string, size int").repartition(7)
+    placed = ordered.with_positions(frame, ["name"], "place")
+    assert placed.columns == ["name", "size", "place"]
+    got = sorted(placed.collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(len(names)))
+    assert [r.name for r in got] == sorted(names, key=lambda n: n.encode())
+    assert ordered.with_positions(frame.limit(0), ["name"], "place").count() == 0
