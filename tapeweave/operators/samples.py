@@ -74,17 +74,26 @@ def short_history(requests: DataFrame, config: WindowConfig) -> DataFrame:
     return requests.filter(F.col("sample_date_idx") < config.lookback - 1)
 
 
-def with_history(requests: DataFrame, config: WindowConfig) -> DataFrame:
+def with_history(requests: DataFrame, config: WindowConfig, short: str = "refuse") -> DataFrame:
+    """Endpoints with a full lookback; without one they are refused or, on request, dropped."""
+    if one_of(short, "refuse", "drop") == "refuse":
+        return require_history(requests, config)
     return requests.filter(F.col("sample_date_idx") >= config.lookback - 1)
 
 
 def require_history(requests: DataFrame, config: WindowConfig) -> DataFrame:
-    short = short_history(requests, config).count()
-    if short:
-        raise ValueError(f"{short} endpoints lack {config.lookback} days of history")
+    lacking = short_history(requests, config).count()
+    if lacking:
+        raise ValueError(f"{lacking} endpoints lack {config.lookback} days of history")
     return requests
 
 
+def one_of(choice: str, *allowed: str) -> str:
+    if choice not in allowed:
+        raise ValueError(f"{choice!r} is none of {', '.join(allowed)}")
+    return choice
+
+
 def window_days(requests: DataFrame, config: WindowConfig) -> DataFrame:
     """One row per sample and lookback day with its position, patch and day in the patch."""
     position = F.col("position")
@@ -155,9 +164,14 @@ def _ranked_view(requests: DataFrame, asset_facts: DataFrame, digest: Column, k:
 
 
 def fixed_view(
-    requests: DataFrame, asset_facts: DataFrame, version: str, k: int, view_index: int = 0
+    requests: DataFrame, asset_facts: DataFrame, version: str, k: int, view_index: int = 0, short: str = "refuse"
 ) -> DataFrame:
-    """k endpoint assets ranked by SHA-256 of version|date|view|k|asset."""
+    """k endpoint assets ranked by SHA-256 of version|date|view|k|asset.
+
+    Samples with fewer than k are refused or, on request, kept with all they have.
+    """
+    if one_of(short, "refuse", "keep") == "refuse":
+        require_view_size(requests, asset_facts, k)
     text = F.concat_ws(
         "|", F.lit(version), F.col("sample_date").cast("string"), F.lit(str(view_index)), F.lit(str(k)),
         F.col("asset_id").cast("string"),
@@ -166,12 +180,21 @@ def fixed_view(
 
 
 def random_view(
-    requests: DataFrame, asset_facts: DataFrame, k: int, seed: int, epoch: int = 0, view_index: int = 0
+    requests: DataFrame,
+    asset_facts: DataFrame,
+    k: int,
+    seed: int,
+    epoch: int = 0,
+    view_index: int = 0,
+    short: str = "refuse",
 ) -> DataFrame:
     """k endpoint assets without replacement, drawn by a hash keyed on seed, date, epoch and view.
 
-    Only train samples follow the epoch.
+    Only train samples follow the epoch. Samples with fewer than k are refused or, on
+    request, kept with all they have.
     """
+    if one_of(short, "refuse", "keep") == "refuse":
+        require_view_size(requests, asset_facts, k)
     step = F.when(F.col("split") == "train", F.lit(str(epoch))).otherwise("0")
     text = F.concat_ws(
         "|", F.lit(str(seed)), F.col("sample_date_idx").cast("string"), step, F.lit(str(view_index)),
@@ -180,10 +203,18 @@ def random_view(
     return _ranked_view(requests, asset_facts, F.sha2(text, 256), k)
 
 
-def require_view_size(requests: DataFrame, k: int) -> DataFrame:
-    short = requests.filter(F.col("n_endpoint_valid_assets") < k).count()
-    if short:
-        raise ValueError(f"{short} samples have fewer than {k} valid endpoint assets")
+def short_views(requests: DataFrame, asset_facts: DataFrame, k: int) -> DataFrame:
+    """Samples with fewer than k valid endpoint assets, none included."""
+    present = endpoint_assets(requests, asset_facts).groupBy(*SAMPLE).agg(F.count(F.lit(1)).alias("_present"))
+    n = F.coalesce("_present", F.lit(0))
+    found = requests.select(*SAMPLE).join(present, SAMPLE, "left").filter(n < k)
+    return found.select(*SAMPLE, n.alias("n_endpoint_valid_assets"), F.lit(k).alias("view_size"))
+
+
+def require_view_size(requests: DataFrame, asset_facts: DataFrame, k: int) -> DataFrame:
+    lacking = short_views(requests, asset_facts, k).count()
+    if lacking:
+        raise ValueError(f"{lacking} samples have fewer than {k} valid endpoint assets")
     return requests
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeweave.operators.samples import SAMPLE, WindowConfig, _patch_ends, sample_patches
+from tapeweave.operators.samples import SAMPLE, WindowConfig, _patch_ends, one_of, sample_patches
 
 STREAMS = ("asset", "market", "macro")
 INPUT_MODES = {"all_streams": None, "without_assets": "asset", "without_market": "market", "without_macro": "macro"}
@@ -91,11 +91,16 @@ def patch_vectors(
     return out.select(*names, *SAMPLE, "patch", F.concat(*filled).alias("patch_vector"))
 
 
-def pooled_states(vectors: DataFrame, masks: DataFrame, size: int, patches: int) -> DataFrame:
+def pooled_states(
+    vectors: DataFrame, masks: DataFrame, size: int, patches: int, invalid: str = "refuse"
+) -> DataFrame:
     """Mean over context patches, the final patch, and both side by side.
 
-    Samples whose final patch is not valid have no state.
+    A sample whose final patch is not valid has no state: it is refused, before any vector
+    is read, or dropped on request.
     """
+    if one_of(invalid, "refuse", "drop") == "refuse":
+        require_endpoints(masks, patches)
     names = [c for c in vectors.columns if c not in (*SAMPLE, "patch", "patch_vector")]
     joined = vectors.join(masks.select(*SAMPLE, "patch", "patch_context"), [*SAMPLE, "patch"])
     slots = [F.get("patch_vector", i) for i in range(size)]
@@ -117,6 +122,13 @@ def invalid_endpoints(masks: DataFrame, patches: int) -> DataFrame:
     return masks.filter((F.col("patch") == patches - 1) & ~F.col("patch_context")).select(*SAMPLE)
 
 
+def require_endpoints(masks: DataFrame, patches: int) -> DataFrame:
+    lacking = invalid_endpoints(masks, patches).count()
+    if lacking:
+        raise ValueError(f"{lacking} samples end in a patch without a valid date")
+    return masks
+
+
 def without_stream(vector: str, features: dict[str, list[str]], mode: str) -> Column:
     """State vector with one input stream set to zero in both of its halves."""
     dropped = INPUT_MODES[mode]

@@ -616,6 +616,31 @@ def l3_dense_panel(spark: SparkSession, sf: str) -> DataFrame:
     return facts_out(dense, ["split", "date_idx", "asset_id", "valid_asset"], "asset")
 
 
+def dense_stream(group: str) -> None:
+    values = ", ".join(
+        f"round(coalesce(CAST(f.{n} AS DOUBLE), 0), 6) AS {n}, coalesce(f.{n}__valid, false) AS {n}__valid"
+        for n in t.feature_names(group)
+    )
+    sql = with_tables(
+        "SELECT s.split, CAST(d.date_idx AS INTEGER) AS date_idx, coalesce(f.valid_date, false) AS valid_date, "
+        f"{values} FROM dman d CROSS JOIN (VALUES ('train'), ('validation')) s(split) LEFT JOIN {group}_facts f "
+        "ON f.split = s.split AND f.date_idx = d.date_idx",
+        "dman",
+        f"{group}_facts",
+    )
+
+    @query(f"l3_dense_{group}", sql)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Every position of both splits for an input stream without assets."""
+        facts, dates = t.FACTS[group](spark, sf), t.date_manifest(spark, sf)
+        dense = samples.dense_panel(facts, dates, None, t.feature_names(group), "valid_date")
+        return facts_out(dense, ["split", "date_idx", "valid_date"], group)
+
+
+dense_stream("market")
+dense_stream("macro")
+
+
 @query(
     "l4_lookback_window",
     with_tables(
@@ -701,7 +726,7 @@ fragment(
 
 
 def fixed_view(spark: SparkSession, sf: str, k: int = FIXED_K, view: int = 0) -> DataFrame:
-    return samples.fixed_view(t.requests(spark, sf), t.asset_facts(spark, sf), t.DATASET_VERSION, k, view)
+    return samples.fixed_view(t.requests(spark, sf), t.asset_facts(spark, sf), t.DATASET_VERSION, k, view, "keep")
 
 
 @query("l7_fixed_view", with_tables(VIEW_SQL + "fixed_view", "fixed_view"))
@@ -718,14 +743,13 @@ def l7_fixed_view(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def l7_short_views(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples that cannot fill a view of FIXED_K assets; samples.require_view_size raises for them."""
-    rows = t.requests(spark, sf).filter(F.col("n_endpoint_valid_assets") < FIXED_K)
-    return rows.select("split", "sample_date_idx", "n_endpoint_valid_assets", F.lit(FIXED_K).alias("view_size"))
+    """Samples that cannot fill a view of FIXED_K assets: the views refuse them by default, the queries keep them."""
+    return samples.short_views(t.requests(spark, sf), t.asset_facts(spark, sf), FIXED_K)
 
 
 @query("l8_random_view", with_tables(VIEW_SQL + "random_view", "random_view"))
 def l8_random_view(spark: SparkSession, sf: str) -> DataFrame:
-    return samples.random_view(t.requests(spark, sf), t.asset_facts(spark, sf), RANDOM_K, SEED, EPOCH)
+    return samples.random_view(t.requests(spark, sf), t.asset_facts(spark, sf), RANDOM_K, SEED, EPOCH, short="keep")
 
 
 MASK_SQL = (
@@ -890,24 +914,25 @@ def dropout_sql(epoch: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(
-    "l14_feature_dropout",
-    with_tables(
-        "SELECT split, "
-        + ", ".join(
-            f"count(*) FILTER ({n}__valid AND NOT (split = 'train' AND '{n}' IN (SELECT feature_name FROM ({dropout_sql(EPOCH)})))) AS {n}"
-            for n in t.feature_names("macro")
-        )
-        + " FROM macro_facts GROUP BY split",
-        "macro_facts",
-    ),
-)
-def l14_feature_dropout(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid cells left per macro feature after the epoch's dropout."""
-    manifest = splits.feature_manifest(spark, t.FAMILIES, t.TRANSFORMS)
-    dropped = [r.feature_name for r in samples.dropped_features(manifest, t.SAMPLES, EPOCH).collect()]
-    kept = samples.apply_dropout(t.macro_facts(spark, sf), dropped)
-    return kept.groupBy("split").agg(*[F.count_if(f"{n}__valid").alias(n) for n in t.feature_names("macro")])
+def feature_dropout(group: str, name: str) -> None:
+    names = t.feature_names(group)
+    off = f"SELECT feature_name FROM ({dropout_sql(EPOCH)}) WHERE input_group = '{group}'"
+    left = ", ".join(
+        f"count(*) FILTER ({n}__valid AND NOT (split = 'train' AND '{n}' IN ({off}))) AS {n}" for n in names
+    )
+
+    @query(name, with_tables(f"SELECT split, {left} FROM {group}_facts GROUP BY split", f"{group}_facts"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Valid cells left per feature of a group after the epoch's dropout."""
+        manifest = splits.feature_manifest(spark, t.FAMILIES, t.TRANSFORMS).filter(F.col("input_group") == group)
+        dropped = [r.feature_name for r in samples.dropped_features(manifest, t.SAMPLES, EPOCH).collect()]
+        kept = samples.apply_dropout(t.FACTS[group](spark, sf), dropped)
+        return kept.groupBy("split").agg(*[F.count_if(f"{n}__valid").alias(n) for n in names])
+
+
+feature_dropout("macro", "l14_feature_dropout")
+feature_dropout("asset", "l14_asset_feature_dropout")
+feature_dropout("market", "l14_market_feature_dropout")
 
 
 def dense_long(spark: SparkSession, sf: str) -> list[DataFrame]:

@@ -141,7 +141,7 @@ def build_states(spark: SparkSession, sf: str, view: DataFrame | None = None) ->
     vectors = states.patch_vectors(
         t.requests(spark, sf), asset_patch_sums(spark, sf), date_patch_vectors(spark, sf), NAMES, t.SAMPLES, view
     )
-    return states.pooled_states(vectors, t.patch_masks(spark, sf), STATE_SIZE, ds.P)
+    return states.pooled_states(vectors, t.patch_masks(spark, sf), STATE_SIZE, ds.P, "drop")
 
 
 @t.layer
@@ -170,6 +170,19 @@ state_half("mean_v", "m1_masked_mean_state")
 state_half("end_v", "m2_endpoint_state")
 
 
+@query(
+    "m2_invalid_endpoints",
+    with_tables(
+        "SELECT split, CAST(sample_date_idx AS INTEGER) AS sample_date_idx FROM masks "
+        f"WHERE patch = {ds.P - 1} AND NOT patch_context",
+        "masks",
+    ),
+)
+def m2_invalid_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples that states.pooled_states refuses by default; the state queries drop them."""
+    return states.invalid_endpoints(t.patch_masks(spark, sf), ds.P)
+
+
 @query(
     "m2_pooled_state_norm",
     with_tables(

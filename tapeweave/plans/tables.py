@@ -249,7 +249,7 @@ def all_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Endpoints with a full lookback."""
-    return samples.with_history(all_requests(spark, sf), SAMPLES)
+    return samples.with_history(all_requests(spark, sf), SAMPLES, "drop")
 
 
 def validity(spark: SparkSession, sf: str) -> DataFrame:

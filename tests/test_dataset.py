@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeweave.operators import blocks, normalize, samples, splits
+from tapeweave.operators import blocks, normalize, samples, splits, states
 
 
 def day(i):
@@ -160,3 +160,48 @@ def test_views_and_dropout_are_keyed(spark):
         frozenset(r.feature_name for r in samples.dropped_features(manifest, config, e).collect()) for e in range(5)
     ]
     assert all(len(s) == 2 for s in sets) and len(set(sets)) == 5
+
+
+def test_views_refuse_samples_with_too_few_assets(spark):
+    schema = "split string, date_idx int, asset_id int, valid_asset boolean"
+    facts = spark.createDataFrame([("train", 5, a, a != 2) for a in range(4)] + [("train", 6, 0, True)], schema)
+    requests = spark.createDataFrame(
+        [("train", i, day(i)) for i in (5, 6, 7)], "split string, sample_date_idx int, sample_date date"
+    )
+    short = {(r.sample_date_idx, r.n_endpoint_valid_assets) for r in samples.short_views(requests, facts, 3).collect()}
+    assert short == {(6, 1), (7, 0)}
+    with pytest.raises(ValueError, match="2 samples have fewer than 3"):
+        samples.fixed_view(requests, facts, "v", 3)
+    with pytest.raises(ValueError, match="2 samples have fewer than 3"):
+        samples.random_view(requests, facts, 3, seed=1)
+    kept = samples.fixed_view(requests, facts, "v", 3, short="keep").groupBy("sample_date_idx").count().collect()
+    assert {(r.sample_date_idx, r["count"]) for r in kept} == {(5, 3), (6, 1)}
+    assert samples.fixed_view(requests.filter("sample_date_idx = 5"), facts, "v", 3).count() == 3
+    with pytest.raises(ValueError, match="none of"):
+        samples.random_view(requests, facts, 3, seed=1, short="drop")
+
+
+def test_short_history_is_refused_or_dropped(spark):
+    config = samples.WindowConfig(lookback=12, patch_len=4)
+    requests = spark.createDataFrame([("train", i) for i in (10, 11, 12)], "split string, sample_date_idx int")
+    with pytest.raises(ValueError, match="1 endpoints lack 12 days"):
+        samples.with_history(requests, config)
+    kept = samples.with_history(requests, config, "drop")
+    assert sorted(r.sample_date_idx for r in kept.collect()) == [11, 12]
+    assert samples.with_history(kept, config).count() == 2
+
+
+def test_invalid_last_patch_is_refused_or_dropped(spark):
+    vectors = spark.createDataFrame(
+        [("train", s, p, [float(p), 1.0]) for s in (1, 2) for p in (0, 1)],
+        "split string, sample_date_idx int, patch int, patch_vector array<double>",
+    )
+    masks = spark.createDataFrame(
+        [("train", 1, 0, True), ("train", 1, 1, True), ("train", 2, 0, True), ("train", 2, 1, False)],
+        "split string, sample_date_idx int, patch int, patch_context boolean",
+    )
+    assert [r.sample_date_idx for r in states.invalid_endpoints(masks, 2).collect()] == [2]
+    with pytest.raises(ValueError, match="1 samples end in a patch"):
+        states.pooled_states(vectors, masks, 2, 2)
+    (row,) = states.pooled_states(vectors, masks, 2, 2, "drop").collect()
+    assert row.sample_date_idx == 1 and row.pooled_state == [0.5, 1.0, 1.0, 1.0]
