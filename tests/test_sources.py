@@ -112,3 +112,59 @@ def test_universes_of_one_write_are_read_by_name(spark, tmp_path):
     text.write_universes(spark.createDataFrame(rows, "symbol string, name string, universe_name string"), root, "current")
     got = {(r.symbol, r.name, r.universe_name) for r in text.read_current_universes(spark, root).collect()}
     assert got == set(rows)
+
+
+def test_unchanged_files_are_not_fingerprinted_again(spark, tmp_path):
+    place, record = str(tmp_path / "a table"), str(tmp_path / "record")
+    rows = [(i, None if i % 7 == 0 else f"n{i}", [i, None] if i % 2 else None, i / 3) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, name string, tags array<long>, share double")
+    frame.filter("id < 40").repartition(3).write.parquet(place)
+
+    def told():
+        return publish.combined(publish.file_fingerprints(spark, place, record)).first()
+
+    def entered():
+        return spark.read.parquet(record).select("path").collect()
+
+    first = told()
+    assert first.row_count == 40 and told() == first
+    known = len(entered())
+    frame.filter("id >= 40").coalesce(1).write.mode("append").parquet(place)
+    assert told().row_count == 60
+    assert len(entered()) == known + 1 == len(set(entered()))
+    # A result from before the table grew stays what it was beside a later one.
+    small = str(tmp_path / "small")
+    spark.range(5).write.parquet(small)
+    before = publish.file_fingerprints(spark, small, record)
+    spark.range(5).write.mode("append").parquet(small)
+    both = publish.combined(before).unionByName(publish.combined(publish.file_fingerprints(spark, small, record)))
+    assert [r.row_count for r in both.collect()] == [5, 10]
+    # Other files with the same rows, and other rows.
+    other = str(tmp_path / "other")
+    frame.orderBy(F.desc("id")).repartition(5).write.parquet(other)
+    whole = publish.combined(publish.file_fingerprints(spark, other, str(tmp_path / "record2"))).first()
+    assert whole == told()
+    changed = str(tmp_path / "changed")
+    frame.withColumn("name", F.when(F.col("id") != 59, F.col("name"))).write.parquet(changed)
+    assert publish.combined(publish.file_fingerprints(spark, changed, str(tmp_path / "record3"))).first() != whole
+    twice = str(tmp_path / "twice")
+    frame.unionByName(frame.limit(1)).write.parquet(twice)
+    assert publish.combined(publish.file_fingerprints(spark, twice, str(tmp_path / "record4"))).first().row_count == 61
+
+
+def test_row_text_keeps_values_apart(spark):
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("ab", None), ("-", "ab"), ("1:a", "b")]
+    frame = spark.createDataFrame(rows, "x string, y string")
+    assert frame.select(publish.row_text(frame).alias("t")).distinct().count() == len(rows)
+
+
+def test_one_content_is_published_once(spark, tmp_path):
+    root, built = str(tmp_path), []
+
+    def tables():
+        built.append(1)
+        return {"ids": spark.range(3)}
+
+    first = publish.publish_once(spark, root, "t", "c1", tables)
+    assert publish.publish_once(spark, root, "t", "c1", tables) == first and len(built) == 1
+    assert publish.publish_once(spark, root, "t", "c2", tables) != first and len(built) == 2
