@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 CHECKED = [
-    "a10_parquet_sink", "b3_symbol_manifest", "c3_observation_status", "d4_event_bar_features", "e5_asof_join",
+    "a7_current_universes", "a10_parquet_sink", "a12_file_fingerprints", "b3_symbol_manifest", "c3_observation_status", "d4_event_bar_features", "e5_asof_join",
     "f_market_state", "i5_date_permissions", "j4_robust_scale", "m15_spread_statistics", "r1_regression_metrics",
     "r5_average_precision", "t3_regression_summary",
 ]
