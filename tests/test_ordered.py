@@ -40,6 +40,23 @@ def test_average_ranks(rows, limit):
     np.testing.assert_allclose(got["rank"], want["rank"])
 
 
+@pytest.mark.parametrize("limit", [10**9, 150])
+def test_average_ranks_of_two_columns_keep_heavy_ties_apart(spark, limit):
+    """Values that hold whole buckets, nulls in keys and values"""
+    rng = np.random.default_rng(5)
+    n = 5000
+    frame = pd.DataFrame({"k": rng.choice(["a", "b"], n).astype(object), "v": np.round(rng.normal(size=n), 3), "w": rng.normal(size=n), "id": np.arange(n)})
+    frame.loc[rng.random(n) < 0.5, "v"] = 0.25
+    frame.loc[rng.random(n) < 0.4, "w"] = -1.0
+    rows = [(None if i % 7 == 0 else r.k, None if i % 50 == 0 else r.v, r.w, i) for i, r in enumerate(frame.itertuples())]
+    df = spark.createDataFrame(rows, "k string, v double, w double, id int")
+    got = ordered.average_ranks(df, ["k"], {"v": "rv", "w": "rw"}, limit).toPandas().sort_values("id")
+    want = df.toPandas().sort_values("id")
+    for value, rank in (("v", "rv"), ("w", "rw")):
+        ranks = want.groupby("k", dropna=False)[value].rank(method="average", na_option="top")
+        np.testing.assert_allclose(got[rank], ranks)
+
+
 @pytest.mark.parametrize("limit", [10**9, 150])
 def test_running_sums(rows, limit):
     ties = ordered.tie_counts(rows, ["k"], "v", total=F.col("y"))
