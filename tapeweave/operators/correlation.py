@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.expr import finite, pearson, ratio
+from tapeweave.session import spread
 
 PAIR = ["segment", "transform", "coordinate", "feature"]
 TOLERANCE = 1e-10
@@ -84,7 +85,9 @@ def detrended(pairs: DataFrame) -> DataFrame:
 
     A pair group holds one row per date.
     """
-    levels = pairs.filter("transform = 'level'").withColumn("transform", F.lit("linear_time_detrended"))
+    # Dealt by what varies: the transform is one constant, which the windows leave out of their keys.
+    dealt = spread(pairs.filter("transform = 'level'"), *[k for k in PAIR if k != "transform"])
+    levels = dealt.withColumn("transform", F.lit("linear_time_detrended"))
     group = Window.partitionBy(*PAIR)
     timed = levels.select(
         "*", F.row_number().over(group.orderBy("date")).cast("double").alias("t"), F.count(F.lit(1)).over(group).alias("n")
@@ -115,7 +118,7 @@ def correlations(pairs: DataFrame) -> DataFrame:
         ties = F.count(F.lit(1)).over(Window.partitionBy(*PAIR, level))
         return F.rank().over(Window.partitionBy(*PAIR).orderBy(level)) + (ties - 1) / 2
 
-    ranked = pairs.select("*", rank("x").alias("rx"), rank("y").alias("ry"))
+    ranked = spread(pairs, *PAIR).select("*", rank("x").alias("rx"), rank("y").alias("ry"))
     usable = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("x") > 0) & (F.stddev_samp("y") > 0)
     level = F.when(usable, pearson("x", "y"))
     return ranked.groupBy(*PAIR).agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.vectors import moments, unpack
 from tapeweave.operators import bootstrap as boot
+from tapeweave.operators import correlation
 from tapeweave.operators import estimators as est
 from tapeweave.operators import geometry, probe_data, report, splits
 
@@ -300,3 +301,15 @@ def test_all_pairs_statistics_multiply_few_blocks(spark, monkeypatch):
         a, b = (geometry._unit_rows(held[k]) for k in (r.row_block, r.other_block))
         products = (a @ b.T)[np.triu_indices(len(a), 1)] if r.row_block == r.other_block else (a @ b.T).ravel()
         assert len(products) == r["count"] and r.least <= products.min() and products.max() <= r.greatest
+
+
+def tasks_of(df):
+    """Tasks of the query's last stage but those that adaptive execution puts together."""
+    return df.rdd.getNumPartitions()
+
+
+def test_pair_correlations_are_dealt_over_all_tasks(spark):
+    rows = [("all", "level", f"z_{i}", "f", day(j), float(i * j % 7), float(j)) for i in range(12) for j in range(6)]
+    pairs = spark.createDataFrame(rows, "segment string, transform string, coordinate string, feature string, date date, x double, y double")
+    for table in (correlation.correlations(pairs), correlation.detrended(pairs)):
+        assert tasks_of(table) == int(spark.conf.get("spark.sql.shuffle.partitions"))

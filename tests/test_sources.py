@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from tapeweave.operators import macro
-from tapeweave.sources import publish, text
+from tapeweave.sources import driver_tables, publish, text
 
 SYMBOLS = [("S_A", "aa.us", "USD", "X", "stock"), ("S_B", "bb.us", "USD", "X", "stock")]
 SYMBOL_SCHEMA = "symbol string, source_symbol string, currency string, exchange string, asset_type string"
@@ -168,3 +168,24 @@ def test_one_content_is_published_once(spark, tmp_path):
     first = publish.publish_once(spark, root, "t", "c1", tables)
     assert publish.publish_once(spark, root, "t", "c1", tables) == first and len(built) == 1
     assert publish.publish_once(spark, root, "t", "c2", tables) != first and len(built) == 2
+
+
+def test_daily_bars_without_ordering_all_rows(spark):
+    """Odd rows: null and repeated keys, null prices, null symbols and days; no task sorts the rows of its days."""
+    rows = [
+        ("a", 1, 10, 1, 5.0, 2.0), ("a", 1, 10, 2, 7.0, 1.0), ("a", 1, 3, 1, 6.0, None), ("a", 1, 3, 1, 6.0, None),
+        ("a", 1, 12, 1, None, 1.0), ("a", 2, None, 4, 1.5, 1.0), ("a", 2, None, 3, 2.5, 1.0), ("a", 2, 9, 1, 9.0, 1.0),
+        (None, 1, 4, 1, 3.0, 1.0), ("b", None, 4, 2, 8.0, 1.0), ("b", 3, None, None, 4.0, 1.0),
+    ]
+    ticks = spark.createDataFrame(rows, "symbol string, day int, k long, line int, price double, quantity double").selectExpr(
+        "symbol", "date_add(DATE'2020-01-01', day) AS date", "price", "quantity", "struct(k, line) AS seq"
+    )
+    totals = driver_tables.day_totals(ticks)
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = driver_tables.daily_bars(totals, ticks)
+    want = ticks.groupBy("symbol", "date").agg(
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "seq").alias("close"), F.sum("quantity").alias("volume"),
+    )
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(*got.columns).collect()} and got.count() == 5
