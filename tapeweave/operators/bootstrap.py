@@ -104,6 +104,9 @@ def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, sampl
         "pp": (p - F.col("p_mean")) * (p - F.col("p_mean")),
         "ap": (a - F.col("a_mean")) * (p - F.col("p_mean")),
     }
+    # Dealt before the windows: a repartition after windows on the same keys is dropped as redundant,
+    # and what is left may be put together to a single task.
+    aligned = spread(aligned, *keys)
     # Centering on the key's own means leaves every correlation as it is and keeps sums small.
     own = Window.partitionBy(*keys)
     centered = aligned.select("*", F.avg("actual").over(own).alias("a_mean"), F.avg("prediction").over(own).alias("p_mean"))
@@ -131,8 +134,7 @@ def regression_draws(aligned: DataFrame, keys: list[str], segment: Column, sampl
         return F.sum(F.get(m, F.col("start") + F.col("length") - 1) - before).alias(m)
 
     sums = (
-        spread(runs, *keys)
-        .join(starts, ["segment", "n", "block_length"])
+        runs.join(starts, ["segment", "n", "block_length"])
         .groupBy(*keys, "draw")
         .agg(F.sum("length").alias("rows"), *[taken(m) for m in measures])
     )
@@ -169,7 +171,7 @@ def classification_draws(aligned: DataFrame, keys: list[str], segment: Column, s
     def clip(c: str) -> Column:
         return F.least(F.greatest(F.col(c), F.lit(1e-12)), F.lit(1.0 - 1e-12))
 
-    numbered = aligned.withColumn("segment", segment).select(
+    numbered = spread(aligned, *keys).withColumn("segment", segment).select(
         *keys,
         "segment",
         F.col("horizon_days").alias("block_length"),
@@ -181,8 +183,13 @@ def classification_draws(aligned: DataFrame, keys: list[str], segment: Column, s
     )
     shapes = numbered.select("segment", "n", "block_length").distinct()
     positions = resampled_positions(block_starts_by_shape(shapes, samples, seed), ["n", "block_length"])
-    weights = positions.groupBy("segment", "n", "block_length", "draw", "position").agg(F.count(F.lit(1)).alias("w"))
-    drawn = spread(numbered, *keys).join(weights, ["segment", "n", "block_length", "position"])
+    spot = ["segment", "n", "block_length", "position"]
+    weights = positions.groupBy(*spot, "draw").agg(F.count(F.lit(1)).alias("w"))
+    drawn_at = weights.groupBy(*spot).agg(F.collect_list(F.struct("draw", "w")).alias("_draws"))
+    # Rows meet their positions' draws as one list, move to their key's task and unfold there: no
+    # unfolded row is shuffled, and neither side is collected.
+    placed = spread(numbered, *spot).join(spread(drawn_at, *spot).hint("merge"), spot)
+    drawn = spread(placed, *keys).select(*keys, "y", "p", "h", F.inline("_draws"))
     y, w = F.col("y"), F.col("w")
     levels = drawn.groupBy(*keys, "draw", "p").agg(
         F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"),

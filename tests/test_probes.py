@@ -313,3 +313,14 @@ def test_pair_correlations_are_dealt_over_all_tasks(spark):
     pairs = spark.createDataFrame(rows, "segment string, transform string, coordinate string, feature string, date date, x double, y double")
     for table in (correlation.correlations(pairs), correlation.detrended(pairs)):
         assert tasks_of(table) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_draws_of_few_keys_are_dealt_over_all_tasks(spark):
+    rows = [("w", f"c{k}", day(i), 5, float((i + k) % 2), (i * k % 10) / 10, 0.5) for k in range(12) for i in range(20)]
+    aligned = spark.createDataFrame(
+        rows, "validation_window_name string, k string, date date, horizon_days int, actual double, prediction double, hand_prediction double"
+    )
+    for draw in (boot.regression_draws, boot.classification_draws):
+        got = draw(aligned, ["k"], boot.pooled_segment(["k"]), 10, 3)
+        assert tasks_of(got) > 1
+        assert got.groupBy("k").count().filter("count = 10").count() == 12
