@@ -324,11 +324,26 @@ def run_heads(
 
     Standardized rows and coefficients are written once, as selection and prediction both read them.
     """
-    scaled = written(standardize(design, keys), "design")
-    coefficients = written(fit(scaled, keys, heads), "coefficients")
+    return run_scaled(written(standardize(design, keys), "design"), keys, heads)
+
+
+def run_scaled(
+    scaled: DataFrame, keys: list[str], heads: tuple[str, ...], head_key: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """run_heads on written standardized rows; with head_key, each key takes only the head that this column names."""
+    if head_key is None:
+        found = fit(scaled, keys, heads)
+    else:
+        found = fit(scaled.filter(F.col(head_key) == heads[0]), keys, heads[:1])
+        for head in heads[1:]:
+            found = found.unionByName(fit(scaled.filter(F.col(head_key) == head), keys, (head,)))
+    coefficients = written(found, "coefficients")
     scores = fold_scores(scaled, coefficients, keys)
     fitted = coefficients.filter("fold = 0").select(*keys).distinct()
-    selection = written(select_parameters(scores, fitted, keys, heads), "selection")
+    chosen = select_parameters(scores, fitted, keys, heads)
+    if head_key is not None:
+        chosen = chosen.filter(F.col("model_name") == F.col(head_key))
+    selection = written(chosen, "selection")
     return selection, apply_coefficients(scaled, selected_coefficients(coefficients, selection, keys), keys)
 
 

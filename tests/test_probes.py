@@ -324,3 +324,23 @@ def test_draws_of_few_keys_are_dealt_over_all_tasks(spark):
         got = draw(aligned, ["k"], boot.pooled_segment(["k"]), 10, 3)
         assert tasks_of(got) > 1
         assert got.groupBy("k").count().filter("count = 10").count() == 12
+
+
+def test_heads_by_key_equal_heads_one_at_a_time(problem):
+    """Rows standardized once for all heads give what a design of its own gives each head."""
+    frame, *_ = problem
+    inner = frame.filter("role = 'fit'").selectExpr(
+        "key", "1 AS fold", "IF(pos < 90, 'fit', 'score') AS role", "date", "pos", "y", "x"
+    )
+    design = frame.select(*inner.columns).unionByName(inner)
+    heads = ("ridge", "huber")
+    scaled = est.standardize(design, ["key"]).withColumn("head", F.explode(F.array(*[F.lit(h) for h in heads])))
+    selection, predictions = est.run_scaled(scaled, ["key", "head"], heads, "head")
+    chosen = {r.model_name: r for r in selection.collect()}
+    assert sorted(chosen) == sorted(heads) and all(r["head"] == h for h, r in chosen.items())
+    for head in heads:
+        one, alone = est.run_heads(design, ["key"], (head,))
+        assert one.first().selected_alpha == chosen[head].selected_alpha
+        want = alone.orderBy("date", "y").toPandas()
+        got = predictions.filter(F.col("model_name") == head).orderBy("date", "y").toPandas()
+        np.testing.assert_allclose(got.prediction, want.prediction, atol=1e-9)
