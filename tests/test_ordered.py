@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeweave.functions import ordered
+from tapeweave.functions import ordered, ranks
 from tapeweave.operators import metrics
 
 
@@ -102,3 +102,59 @@ def test_positions_follow_the_order_of_strings(spark):
     assert [r.place for r in got] == list(range(len(names)))
     assert [r.name for r in got] == sorted(names, key=lambda n: n.encode())
     assert ordered.with_positions(frame.limit(0), ["name"], "place").count() == 0
+
+
+@pytest.fixture(scope="module")
+def listed(spark):
+    """Outcomes with heavy ties, two group columns with nulls, predictors that are missing, infinite, tied and constant."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    actual = np.where(rng.random(n) < 0.3, 0.0, np.round(rng.normal(size=n), 2))
+    noisy, tied = actual * 0.5 + rng.normal(size=n), np.where(rng.random(n) < 0.4, -0.0, np.round(rng.normal(size=n), 1))
+    rows = [
+        (
+            "ab"[i % 3 // 2],
+            None if i % 4 == 0 else "ab"[i % 2],
+            None if i % 37 == 0 else float(actual[i]),
+            [None if i % 11 == 0 else float(noisy[i]), float("inf") if i % 13 == 0 else float(tied[i]), 1.5],
+        )
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "k string, m string, actual double, listed array<double>").cache()
+
+
+@pytest.mark.parametrize("limit", [10**9, 150, 30])
+def test_listed_ranks_of_every_predictor(listed, limit):
+    names = ["noisy", "tied", "constant"]
+    got = {
+        (r.k, r.m, r.predictor_name): r.spearman_correlation
+        for r in metrics.listed_spearman(listed, ["k", "m"], "listed", names, limit).collect()
+    }
+    frame = listed.select("k", "m", "actual", *[F.col("listed")[i].alias(n) for i, n in enumerate(names)]).toPandas()
+    frame = frame.replace([np.inf], np.nan)
+    wanted = {}
+    for (k, m), g in frame.groupby(["k", "m"], dropna=False):
+        for name in names:
+            known = g[["actual", name]].dropna()
+            level = known.actual.rank().corr(known[name].rank()) if known[name].nunique() > 1 else 0.0
+            wanted[k, None if pd.isna(m) else m, name] = level
+    assert got.keys() == wanted.keys() and len(got) == 18
+    for key, level in wanted.items():
+        assert got[key] == pytest.approx(level, abs=1e-12), key
+    assert {got[k] for k in got if k[2] == "constant"} == {0.0}
+
+
+def test_ranks_sort_an_outcome_once_in_blocks(listed):
+    """A task ships blocks of rows, not rows, and heavy ties as sums."""
+    _, sums = ranks.rank_sums(listed, ["k", "m"], "actual", "listed", 3, 150)
+    found = sums.toPandas()
+    assert found[found._place == 0]._n.sum() == listed.filter("actual IS NOT NULL AND listed[0] IS NOT NULL").count()
+    constant = found[found._place == 2]
+    assert (constant._b % 2 == 1).any() and (constant._sbb == 0).all() and len(constant) < 400
+
+
+def test_groups_of_shifted_nulls_stay_apart(spark):
+    rows = [("a", None, float(i), float(i)) for i in range(9)] + [(None, "a", float(i), float(-i)) for i in range(9)]
+    frame = spark.createDataFrame(rows, "k string, m string, actual double, prediction double")
+    got = {(r.k, r.m): r.spearman_correlation for r in metrics.spearman(frame, ["k", "m"]).collect()}
+    assert got == {("a", None): pytest.approx(1.0), (None, "a"): pytest.approx(-1.0)}
