@@ -43,3 +43,13 @@ def test_results_take_ranks_made_before(predictions):
     assert plain.columns == given.columns and sorted(plain.collect()) == sorted(given.collect())
     pooled = report.pooled_results(predictions, ranks=metrics.spearman(predictions, report.POOLED_KEYS))
     assert sorted(pooled.collect()) == sorted(report.pooled_results(predictions).collect())
+
+
+def test_a_constant_side_scores_zero_however_its_parts_are_merged(spark):
+    rows = spark.range(3000).repartition(7).select(
+        (F.col("id") % 40).alias("k"), (F.col("id") * 0.37).alias("actual"), (F.col("id") % 40 / 7 + 0.1).alias("prediction")
+    )
+    forth = metrics.regression_metrics(rows, ["k"]).collect()
+    assert {(r.prediction_std, r.pearson_correlation, r.std_ratio) for r in forth} == {(0.0, 0.0, 0.0)} and len(forth) == 40
+    turned = rows.select("k", F.col("prediction").alias("actual"), F.col("actual").alias("prediction"))
+    assert {(r.actual_std, r.r2, r.std_ratio) for r in metrics.regression_metrics(turned, ["k"]).collect()} == {(0.0, 0.0, 0.0)}
